@@ -164,7 +164,7 @@ def sure_share(p: int, n: int, z: float = 1.645) -> float:
     return (p / m + z * z / (2 * m) - z * math.sqrt(p / m * (1 - p / m) / m + z * z / (4 * m * m))) / (1 + z * z / m)
 
 
-def learn(table: dict[str, np.ndarray], good: np.ndarray, *, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.95, min_sure: float = 0.8, min_rows: int = 5, cuts: int = 63) -> DecisionList:
+def learn(table: dict[str, np.ndarray], good: np.ndarray, *, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.95, min_sure: float = 0.7, min_rows: int = 5, cuts: int = 63) -> DecisionList:
     """Sequential covering of the rows that are not good.
 
     Every third row prunes, the others grow.  A rule stays if it rejects with

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, quality_rules, secret_scan, toxicity, wavelet
+from . import bpe, license_scan, line_dedup, mixing, near_dedup, permutation_index, quality_rules, secret_scan, toxicity, wavelet
 from .storage import fresh_path, written
 
 
@@ -23,6 +23,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.col("__quality_base_failed").alias("base_failed"), F.col("__quality_kept").alias("kept"), F.col("__quality_rule").alias("rule"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    index = permutation_index.PermutationIndex(vectors, most_ids=21)
+    return index.search(vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 20)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     sized = written(documents, "mix-sizes")
@@ -46,6 +52,17 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = near_dedup.similar_components(documents, width=3, percent=85)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__lines_text").alias("text"), F.col("__lines_n_removed_lines").alias("n_removed_lines"), F.col("__lines_n_removed_words").alias("n_removed_words"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secret_scan.BlobLedger(spark, fresh_path(spark, "secret-ledger"))
@@ -86,7 +103,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_quality_rules, op3_source_mix, op4_license_scan, op7_secret_scan, op8_toxicity, op9_wavelet_store, op10_bpe_round_trip)
+    named = (op1_quality_rules, op2_permutation_index, op3_source_mix, op4_license_scan, op5_lsh_forest, op6_line_chunks, op7_secret_scan, op8_toxicity, op9_wavelet_store, op10_bpe_round_trip)
     return {f.__name__: f for f in named}
 
 
