@@ -2,8 +2,8 @@
 
 A pre-token is a doubly linked list of symbols.  A heap holds (rank, position)
 of adjacent pairs; a popped entry whose pair has changed meanwhile is stale and
-skipped.  Texts are cut at single spaces between two non-spaces, where no
-pre-token crosses, and results per piece are kept in a bounded memo.
+skipped.  Texts are cut at white space before a non-space, where no pre-token
+crosses, and ids per part are kept in a bounded memo.
 
 Defined results: a null text is encoded as an empty one, which has no ids and
 decodes to ''; any text round-trips, as every byte has a symbol.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from array import array
 
 import numpy as np
@@ -21,14 +22,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import batches, hasher
+from .parts import PartMemo, split_stops
 from .storage import worker_state
 
 #: The pre-token pattern of byte-level BPE, with white space as Unicode has it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Pieces and pre-tokens that a worker remembers; beyond that it starts afresh.
-MEMO = 400_000
+#: A part that is one pre-token at sight.
+LETTERS = re.compile(rb" ?[A-Za-z]+")
+#: Bytes that begin no white space; those of U+0085, U+00A0, U+1680, U+20xx and U+3000 might.
+SOLID = np.ones(256, bool)
+SOLID[[9, 10, 11, 12, 13, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,90 +53,130 @@ class BytePairCodec:
         letters = byte_letters()
         bytes_of = {c: b for b, c in letters.items()}
         self.first = [vocabulary[letters[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
+            self.ranks[vocabulary[a] << 32 | vocabulary[b]] = rank
+            self.merged.append(vocabulary[a + b])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: bytes(bytes_of[c] for c in t) for t, i in vocabulary.items()}
         self.strings |= {i: t.encode() for t, i in self.added.items()}
+        strings = [self.strings.get(i, b"") for i in range(1 + max(self.strings))]
+        self.letters = np.frombuffer(b"".join(strings), np.uint8)
+        self.lengths = np.array([len(t) for t in strings], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
         self.pretokens = regex.compile(PATTERN)
-        self.cuts = regex.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-        self.edges = regex.compile(rf"[{SPACE}] | [{SPACE}]|^ | $")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces: dict[str, bytes] = {}
-        self.memo: dict[str, array] = {}
+        self.marks = [t.encode() for t in self.added]
+        self.memo = PartMemo(np.dtype(np.int32), self._learn)
 
-    def merge(self, data: bytes) -> array:
+    def merge(self, data: bytes) -> list[int]:
         """Symbols of one pre-token."""
         symbols = [self.first[b] for b in data]
         n = len(symbols)
-        merges = self.merges
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            if hit := merges.get((symbols[i], symbols[i + 1])):
-                queue.append((hit[0], i, hit[1]))
+        if n == 1:
+            return symbols
+        rank_of, merged = self.ranks.get, self.merged
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        # an entry is a rank over the position of the pair's left symbol
+        queue = [r << bits | i for i in range(n - 1) if (r := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            rank, i, merged = heapq.heappop(queue)
-            if symbols[i] < 0 or (j := after[i]) >= n or merges.get((symbols[i], symbols[j])) != (rank, merged):
+            entry = heapq.heappop(queue)
+            i, rank = entry & mask, entry >> bits
+            j = after[i]
+            if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != rank:
                 continue  # stale
-            symbols[i], symbols[j] = merged, -1
+            new = merged[rank]
+            symbols[i], symbols[j] = new, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if hit := merges.get((merged, symbols[k])):
-                    heapq.heappush(queue, (hit[0], i, hit[1]))
-            if (h := before[i]) >= 0 and (hit := merges.get((symbols[h], merged))):
-                heapq.heappush(queue, (hit[0], h, hit[1]))
-        return array("i", [s for s in symbols if s >= 0])
-
-    def piece(self, text: str) -> bytes:
-        out = array("i")
-        memo = self.memo
-        for t in self.pretokens.findall(text):
-            ids = memo.get(t)
-            if ids is None:
-                ids = self.merge(t.encode())
-                if len(t) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[t] = ids
-            out += ids
-        return out.tobytes()
-
-    def _plain(self, text: str) -> list[bytes]:
-        """Ids, as native 32-bit integers, of a text without added tokens."""
-        if not text:
-            return []
-        parts = self.cuts.split(text) if self.edges.search(text) else text.split(" ")
-        known = self.pieces
-        out = []
-        lead = ""
+                if (r := rank_of(new << 32 | symbols[k])) is not None:
+                    heapq.heappush(queue, r << bits | i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(symbols[h] << 32 | new)) is not None:
+                heapq.heappush(queue, r << bits | h)
+        return [s for s in symbols if s >= 0]
+
+    def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out, ends = array("i"), [0]
         for p in parts:
-            p = lead + p
-            lead = " "
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                if len(p) <= 64:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    known[p] = ids
-            out.append(ids)
-        return out
-
-    def encode(self, text: str) -> bytes:
-        if self.specials is None or not any(s in text for s in self.added):
-            return b"".join(self._plain(text))
+            if LETTERS.fullmatch(p):
+                out.extend(self.merge(p))
+            else:
+                for t in self.pretokens.findall(p.decode()):
+                    out.extend(self.merge(t.encode()))
+            ends.append(len(out))
+        at = np.array(ends, np.int64)
+        return np.array(out, np.int32), at[:-1], np.diff(at)
+
+    def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without added tokens, in a row, and the number of ids of each.
+
+        A single white-space byte before a non-space begins a part; unless it is a space,
+        it is one by itself.  Bytes that may begin other white space are not relied on.
+        """
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        limits = np.cumsum([0] + [len(t) + 1 for t in texts])
+        cuts = hasher().spaces[data]
+        cuts[:-1] &= SOLID[data[1:]]
+        cuts[limits[1:] - 1] = False
+        alone = np.flatnonzero(cuts & (data != 32)) + 1
+        cuts[alone] = True
+        cuts[limits[:-1]] = True
+        cuts[limits[1:] - 1] = True  # the newlines between texts, which are left out
+        bounds = np.flatnonzero(cuts)
+        starts, ends = bounds, np.append(bounds[1:], len(data))
+        inside = np.ones(len(starts), bool)
+        inside[np.searchsorted(starts, limits[1:] - 1)] = False
+        starts, ends = split_stops(data, starts[inside], ends[inside])
+        at = np.searchsorted(starts, limits)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        ids, placed = self.memo.ids(data, starts, ends)
+        return ids, np.diff(np.concatenate([[0], placed])[at])
+
+    def encode(self, text: bytes) -> np.ndarray:
+        """The ids of one text, added tokens in it included."""
         out = []
-        for k, part in enumerate(self.specials.split(text)):
-            out += [array("i", [self.added[part]]).tobytes()] if k % 2 else self._plain(part)
-        return b"".join(out)
-
-    def decode(self, ids) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+        for k, part in enumerate(self.specials.split(text.decode()) if self.specials else [text.decode()]):
+            out.append(np.array([self.added[part]], np.int32) if k % 2 else self.encode_batch([part.encode()])[0])
+        return np.concatenate(out)
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids of each."""
+        flat, sizes = [], []
+        for _, part in batches(texts):
+            if any(m in t for t in part for m in self.marks):
+                found = [self.encode(t) for t in part]
+                flat += found
+                sizes.append(np.array([len(f) for f in found], np.int64))
+            else:
+                ids, n = self.encode_batch(part)
+                flat.append(ids)
+                sizes.append(n)
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids[:ends[0]], ids[ends[0]:ends[1]] and so on."""
+        out: list[str] = []
+        first = 0
+        for k in range(0, len(ends), 256):
+            some = ends[k : k + 256]
+            part = ids[first : some[-1]]
+            sizes = self.lengths[part]
+            placed = np.cumsum(sizes)
+            at = np.repeat(self.offsets[part] - placed + sizes, sizes)
+            at += np.arange(len(at))
+            raw = self.letters[at].tobytes()
+            cuts = np.concatenate([[0], placed])[np.concatenate([[first], some]) - first].tolist()
+            out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+            first = some[-1]
+        return out
 
 
 def vocabulary_file(spark: SparkSession, path: str):
@@ -156,11 +202,8 @@ def encoder(spark: SparkSession, path: str):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        codec = codec_of(shared)
-        parts = [codec.encode(t.as_py() or "") for t in texts]
-        offsets = np.zeros(len(parts) + 1, np.int32)
-        np.cumsum([len(p) >> 2 for p in parts], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        ids, sizes = codec_of(shared).encode_all([t or b"" for t in texts.cast(pa.binary()).to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
     return encode
 
@@ -171,8 +214,9 @@ def decoder(spark: SparkSession, path: str):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        codec = codec_of(shared)
-        return pa.array([None if x is None else codec.decode(x.to_numpy().tolist() if len(x) else []) for x in (i.values if i.is_valid else None for i in ids)], pa.string())
+        lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        out = codec_of(shared).decode_all(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths))
+        return pa.array(out, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
     return decode
 

@@ -7,7 +7,7 @@ import numpy as np
 from .storage import worker_state
 
 #: Bytes of text that are hashed at once; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 21
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -275,8 +275,24 @@ def test_pretokens_of_every_character():
     text = "".join(f"a{chr(c)}1 {chr(c)}{chr(c)} b" for c in range(0x3100) if not 0xD800 <= c < 0xE000)
     for at in range(0, len(text), 5000):
         part = text[at : at + 5000]
-        assert np.frombuffer(codec.encode(part), np.int32).tolist() == library.encode(part, add_special_tokens=False).ids
-    assert codec.decode([0xE9, *codec.strings][:1]) is not None
+        ids = codec.encode(part.encode())
+        assert ids.tolist() == library.encode(part, add_special_tokens=False).ids
+        assert codec.decode_all(ids, np.array([len(ids)])) == [part]
+    for i in range(0, 50256, 7):
+        assert codec.decode_all(np.array([i, i + 1]), np.array([2])) == [library.decode([i, i + 1], skip_special_tokens=False)]
+
+
+def test_bpe_of_odd_white_space():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        codec = bpe.BytePairCodec(f.read())
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([" ", " ", "\n", "\t", "\xa0", "\u2003", "\x1f", "\x85", "\u3000", "a", "é", ".", ",", "1", "'s", "don't", "x.", "\r\n", "<|endoftext|>" if n > 300 else "b"]) for _ in range(rng.randrange(12))) for n in range(400)]
+    ids, sizes = codec.encode_all([t.encode() for t in texts])
+    import numpy as np
+
+    for t, part in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert part.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 @pytest.mark.parametrize("folder", ["sf", "odd"])
