@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import vocabulary_file
+from .hashing import batches, hasher
+from .parts import PartMemo, split_stops
 from .storage import fresh_path, worker_state
 
 MAGIC = b"SMWVM01\n"
 BLOCK = 4096
 #: A shard is closed with the document that takes it to this many ids.
-SHARD_IDS = 1 << 22
-#: Words whose ids a worker remembers; beyond that it starts afresh.
-MEMO = 600_000
+SHARD_IDS = 1 << 21
 
 
 class WaveletMatrix:
@@ -56,29 +56,31 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         n = len(ids)
         zeros, planes, counts = np.zeros(width, np.uint32), [], []
-        v = ids
+        v, dealt = ids.copy(), np.empty_like(ids)
         for level in range(width):
-            bit = (v >> (width - 1 - level)) & 1
-            ones = bit.view(bool) if bit.dtype == np.uint8 else bit.astype(bool)
-            low, high = v[~ones], v[ones]
+            ones = (v & ids.dtype.type(1 << (width - 1 - level))) != 0
+            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
             zeros[level] = len(low)
             planes.append(np.packbits(ones))
             sums = np.add.reduceat(ones, np.arange(0, n, BLOCK), dtype=np.uint32) if n else np.zeros(0, np.uint32)
             counts.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(sums, dtype=np.uint32)]))
-            v = np.concatenate([low, high])
+            np.take(v, low, out=dealt[: len(low)], mode="clip")
+            np.take(v, high, out=dealt[len(low) :], mode="clip")
+            v, dealt = dealt, v
         return cls(n, zeros, planes, counts)
 
     def ids(self) -> np.ndarray:
         """All ids in order, from the last plane up."""
         width = len(self.planes)
         v = np.zeros(self.n, np.uint16 if width <= 16 else np.uint32)
+        dealt = np.empty_like(v)
         for level in range(width - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             z = int(self.zeros[level])
-            out = np.empty_like(v)
-            out[~ones] = v[:z]
-            out[ones] = v[z:] | v.dtype.type(1 << (width - 1 - level))
-            v = out
+            v[z:] |= v.dtype.type(1 << (width - 1 - level))
+            dealt[np.flatnonzero(~ones)] = v[:z]
+            dealt[np.flatnonzero(ones)] = v[z:]
+            v, dealt = dealt, v
         return v
 
     def bit(self, level: int, i: int) -> int:
@@ -176,8 +178,11 @@ def unpacked(content: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarra
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each distinct word.
 
-    The vocabulary's normaliser drops white space, so that ids of a text are
-    those of its words (by ASCII white space) in a row.
+    The vocabulary's normaliser drops white space and its pre-tokenizer puts stops that
+    follow a letter or digit in a pre-token of their own.  So the ids of a text are
+    those of its parts in a row: runs between ASCII white space, less the run of '.' and
+    ',' that may end them, and that run.  Parts are told apart by 64-bit hashes, for
+    whole batches at once.
     """
 
     def __init__(self, content: bytes):
@@ -186,34 +191,46 @@ class WordEncoder:
         self.library.no_truncation()
         self.width = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > MEMO:
-            self.known.clear()
-        # a run of letters and the stops after it are pre-tokens of their own
-        cores = {w: c for w in words if (c := w.rstrip(b".,")) != w and c.isalpha()}
-        asked = list({*(w for w in words if w not in cores), *(c for c in cores.values()), *(w[len(c) :] for w, c in cores.items())} - self.known.keys())
-        for w, e in zip(asked, self.library.encode_batch_fast([a.decode() for a in asked], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
-        for w, c in cores.items():
-            self.known[w] = self.known[c] + self.known[w[len(c) :]]
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        split = [t.split() for t in texts]
-        get = self.known.get
-        found = [list(map(get, ws)) for ws in split]
-        missed = {w for ws, f in zip(split, found, strict=True) if None in f for w, x in zip(ws, f, strict=True) if x is None}
-        if missed:
-            before = len(self.known)
-            self._learn(missed)
-            if len(self.known) < before:  # it started afresh
-                self._learn({w for ws in split for w in ws if w not in self.known})
-            get = self.known.__getitem__
-            found = [list(map(get, ws)) if None in f else f for ws, f in zip(split, found, strict=True)]
-        for f in found:
-            f.append(end)
-        return [b"".join(f) for f in found]
+        self.closing = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(self.library.get_vocab_size(with_added_tokens=True))])
+        self.memo = PartMemo(self.kind, self._learn)
+
+    def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of letters alone are asked in sentences, whose ids tell where words close."""
+        words = [p.decode() for p in parts]
+        sizes, offsets = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat, used = [], 0
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        rest = [i for i, w in enumerate(words) if not w.isalpha()]
+        asked = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for some, e in zip(asked, self.library.encode_batch_fast([" ".join(words[i] for i in some) for some in asked], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = np.concatenate([[0], np.flatnonzero(self.closing[ids]) + 1])
+            if len(ends) == len(some) + 1 and ends[-1] == len(ids):
+                offsets[some], sizes[some] = used + ends[:-1], np.diff(ends)
+                flat.append(ids)
+                used += len(ids)
+            else:
+                rest += some
+        for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            ids = e.ids
+            offsets[i], sizes[i] = used, len(ids)
+            flat.append(np.array(ids, self.kind))
+            used += len(ids)
+        return np.concatenate(flat), offsets, sizes
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each closed by end_id, and the number of ids of each."""
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        gaps = hasher().spaces[data]
+        before = np.empty_like(gaps)
+        before[0], before[1:] = True, gaps[:-1]
+        starts, ends = split_stops(data, np.flatnonzero(before & ~gaps), np.flatnonzero(gaps & ~before))
+        at = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        if not len(starts):
+            return np.full(len(texts), end_id, self.kind), np.ones(len(texts), np.int64)
+        ids, placed = self.memo.ids(data, starts, ends)
+        placed = np.concatenate([[0], placed])[at]
+        return np.insert(ids, placed[1:], end_id), np.diff(placed) + 1
 
 
 def encoder_of(shared) -> WordEncoder:
@@ -250,27 +267,26 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, *, end_id: i
 
     def work(chunks):
         encoder = encoder_of(shared)
-        end = np.array([end_id], encoder.kind).tobytes()
         part = TaskContext.get().partitionId()
         names: list[int | None] = []
-        encoded: list[bytes] = []
+        encoded: list[np.ndarray] = []
         size = shard = 0
 
         def close():
-            ids = np.frombuffer(b"".join(encoded), encoder.kind)
-            ends = np.cumsum([len(e) // encoder.kind.itemsize for e in encoded])
+            ids = np.concatenate(encoded)
+            ends = np.cumsum([len(e) for e in encoded])
             path = f"{folder}/shard-{part:06d}-{shard:05d}.wvm"
             put(path, packed(ids, names, ends, encoder.width))
             return {"part": part, "shard": shard, "path": path, "n_docs": len(names), "n_ids": len(ids)}
 
         for chunk in chunks:
-            for at in range(0, chunk.num_rows, 256):
-                rows = chunk.slice(at, 256)
-                texts = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
-                for d, e in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts, end), strict=True):
+            doc_ids = chunk.column("doc_id").to_pylist()
+            for first, texts in batches([t or b"" for t in chunk.column("text").cast(pa.binary()).to_pylist()]):
+                ids, sizes = encoder.encode(texts, end_id)
+                for d, n, e in zip(doc_ids[first:], sizes.tolist(), np.split(ids, np.cumsum(sizes)[:-1])):
                     names.append(d)
                     encoded.append(e)
-                    size += len(e) // encoder.kind.itemsize
+                    size += n
                     if size >= shard_ids:
                         yield pa.RecordBatch.from_pylist([close()], schema=manifest)
                         names, encoded, size, shard = [], [], 0, shard + 1
@@ -289,7 +305,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     start needs a running sum over one small row per shard.
     """
     order = W.orderBy("part", "shard").rowsBetween(W.unboundedPreceding, -1)
-    based = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"), F.pmod(F.hash("path"), F.lit(1 << 16)).alias("salt"))
+    based = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    tasks = max(1, manifest.count())  # one for each file
 
     def work(chunks):
         for chunk in chunks:
@@ -311,7 +328,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return based.repartition("salt").mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return based.repartition(tasks).mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def store(documents: DataFrame, tokenizer: str, *, end_id: int, folder: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
