@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import smaller, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -98,18 +98,10 @@ def _seeded(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])), 1, 13), 16, 10).cast("bigint")
 
 
-#: A table of so many rows at most is broadcast; a larger one is joined by key.
-BROADCAST_ROWS = 10_000
-
-
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-
-
 def _on_rings(documents: DataFrame, sources: DataFrame, shard_words: int) -> DataFrame:
     """documents with the number of their source and shard, and their place in the seeded order."""
     side = sources.select(F.col("source").alias("__mix_source"), F.col("k").alias("__mix_k"), F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).alias("__mix_shards"))
-    out = documents.join(_small(side), F.col("source").eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
+    out = documents.join(smaller(side), F.col("source").eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
     out = out.withColumn("__mix_order", _seeded(F.lit("order"), F.col("doc_id")))
     return out.withColumn("__mix_shard", F.pmod("__mix_order", "__mix_shards")).drop("__mix_shards")
 
@@ -125,7 +117,7 @@ def quotas(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_repeats
     sources = written(apportion(sources, [], "target", "blocks", ["k"], "seats"), "mix-sources")
     shards = _on_rings(sized, sources, shard_words).groupBy("__mix_k", "__mix_shard").agg(F.sum("size").alias("ring"))
     seats = sources.select(F.col("k").alias("__mix_k"), "seats")
-    shards = apportion(shards.join(_small(seats), "__mix_k"), ["__mix_k"], "ring", "seats", ["__mix_shard"], "blocks")
+    shards = apportion(shards.join(smaller(seats), "__mix_k"), ["__mix_k"], "ring", "seats", ["__mix_shard"], "blocks")
     most = F.floor(F.col("ring") * most_repeats / block_words)
     first = F.pmod(_seeded(F.lit("ring"), F.col("__mix_k"), F.col("__mix_shard")), F.greatest(F.ceil(F.col("ring") / block_words), F.lit(1)))
     shards = shards.select("__mix_k", "__mix_shard", "ring", (F.least("blocks", most) * block_words).alias("quota"), (first * block_words).alias("start"))
@@ -141,9 +133,9 @@ def taken(documents: DataFrame, sources: DataFrame, shards: DataFrame, size: Col
     out = _on_rings(documents.withColumn("__mix_size", size), sources, shard_words)
     ring = W.partitionBy("__mix_k", "__mix_shard").orderBy("__mix_order", "doc_id", "__mix_size").rowsBetween(W.unboundedPreceding, -1)
     out = out.withColumn("__mix_a", F.coalesce(F.sum("__mix_size").over(ring), F.lit(0)))
-    out = out.join(_small(shards), ["__mix_k", "__mix_shard"])
+    out = out.join(smaller(shards), ["__mix_k", "__mix_shard"])
     side = sources.select(F.col("k").alias("__mix_k"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
-    out = out.join(_small(side), "__mix_k")
+    out = out.join(smaller(side), "__mix_k")
     a, b = F.col("__mix_a"), F.col("__mix_a") + F.col("__mix_size")
     rounds = F.when(F.col("ring") > 0, F.floor(F.col("quota") / F.col("ring"))).otherwise(F.lit(0))
     end = F.col("start") + F.col("quota") - rounds * F.col("ring")  # of the last, partial round; beyond the ring it goes on at 0

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .hashing import batches, hasher, mixed, shingles, stream
-from .storage import dropped, written
+from .storage import dropped, smaller, written
 
 #: Values of a signature, trees of the forest, and how far each tree's rotation is from the last.
 SIGNATURE, TREES, STEP = 64, 16, 4
@@ -79,23 +79,25 @@ def sketcher(width: int):
     return sketch
 
 
-OWN_SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.BinaryType())])
-
-
 def node_number(shingle_set: np.ndarray) -> int:
     """A hash of a whole set."""
     return int((mixed(shingle_set).sum(dtype=np.uint64) ^ np.uint64(len(shingle_set))).view(np.int64))
 
 
-def full_sets(width: int):
-    """A function of a text column: node number and the whole shingle set."""
+def _own_sets(width: int):
+    """For mapInArrow over (node, text): (node, set) of the texts that are their node's.
 
-    @F.arrow_udf(OWN_SET)
-    def full_set(texts: pa.Array) -> pa.Array:
-        sets = shingle_sets([t or b"" for t in texts.cast(pa.binary()).to_pylist()], width)
-        return pa.StructArray.from_arrays([pa.array([node_number(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
+    Not a function of columns, which the optimiser would compute for all texts, before the join.
+    """
 
-    return full_set
+    def work(chunks):
+        for chunk in chunks:
+            nodes = chunk.column("node").to_pylist()
+            sets = shingle_sets([t or b"" for t in chunk.column("text").cast(pa.binary()).to_pylist()], width)
+            own = [(n, s.tobytes()) for n, s in zip(nodes, sets, strict=True) if len(s) and node_number(s) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["node", "set"])
+
+    return work
 
 
 def similar(a: bytes, b: bytes, percent: int) -> bool:
@@ -178,10 +180,14 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = lambda d: F.xxhash64("tree", F.call_function("substring", F.col("s"), at, F.lit(4 * d)))
     spark = nodes.sparkSession
     small, stars, crowd = [], None, spark.createDataFrame([], "key bigint, node bigint")
+    signed = nodes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    at = F.pmod(F.col("tree") * STEP, F.lit(SIGNATURE)) * 4 + 1
+    # leaders differ from tree to tree, lest an odd one lead everywhere
+    order = F.xxhash64("node", "tree")
     for level, depth in enumerate(DEPTHS):
-        keyed = trees.select("node", "tree", "s", key(depth).alias("key")) if level else trees.select("node", "tree", key(depth).alias("key"))
-        # leaders differ from tree to tree, lest an odd one lead everywhere
-        order = F.xxhash64("node", "tree")
+        prefix = F.call_function("substring", F.concat("signature", "signature"), at, F.lit(4 * depth))
+        # signatures stay behind: only numbers are shuffled
+        keyed = written(signed.select("node", "tree", F.xxhash64("tree", prefix).alias("key")), "keys")
         counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("first")).where("c > 1")
         counts = written(counts, "regions")
         few = keyed.select("node", "key").join(counts.where(F.col("c") <= REGION).select("key"), "key")
@@ -189,14 +195,14 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         crowded = counts.where(F.col("c") > REGION).select("key", "first")
         if crowded.isEmpty():
             break
-        inside = trees.withColumn("key", key(depth)).join(crowded, "key")
+        inside = written(keyed.join(smaller(crowded), "key"), "crowded")
         if level == 0:
-            crowd = written(inside.select("key", "node"), "crowd")
+            crowd = inside.select("key", "node")
         if level == 0 or depth == DEPTHS[-1]:
             leaders = inside.where(order == F.col("first")).groupBy("key").agg(F.min("node").alias("leader"))
-            led = inside.select("key", "node").join(leaders, "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
+            led = inside.select("key", "node").join(smaller(leaders), "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
             stars = led if stars is None else stars.unionByName(led)
-        trees = written(inside.select("node", "s", "tree"), "crowded")
+        signed = inside.select("node", "tree").join(nodes, "node")
     out = small[0]
     for more in small[1:]:
         out = out.unionByName(more)
@@ -242,8 +248,8 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
         homes = wanted.join(nodes.select("node", "least"), "node")
         texts = documents.select(F.col("doc_id").alias("home"), "text")
         # a doc_id may have several texts, of which only one is this node's
-        own = homes.join(texts, F.col("least").eqNullSafe(F.col("home"))).select("node", full_sets(width)("text").alias("own"))
-        return written(own.where("own.node = node").select("node", "own.set").dropDuplicates(["node"]), "sets")
+        own = texts.join(smaller(written(homes, "homes")), F.col("least").eqNullSafe(F.col("home"))).select("node", "text")
+        return written(own.mapInArrow(_own_sets(width), "node bigint, set binary").dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())

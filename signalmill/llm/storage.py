@@ -8,6 +8,7 @@ import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of so many rows at most, of a few numbers each, is broadcast; a larger one is joined by key.
+BROADCAST_ROWS = 100_000
+
+
+def smaller(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     jvm = spark.sparkContext._jvm
