@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import hasher, mixed, stream
+from .storage import smaller, written
 
 #: A line of so many words is a chunk of its own; a chunk, or chunks in a row, of so many words is a passage.
 LONG_LINE, PASSAGE = 20, 50
+#: Rows of one chunk to a key of a join.
+HOT_CHUNK = 1000
 
 
 def cut(text: bytes) -> list[tuple[int, int, int, int, int]]:
@@ -113,10 +116,16 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     """(doc_id, removable array<struct<hash, home>>) of documents with chunks whose home is another document."""
     rows = documents.where("doc_id is not null").select("doc_id", F.explode(chunks_of("text")).alias("c")).select("doc_id", "c.hash", "c.chunk")
     # the bytes are part of the key: chunks are equal only if these are; copies are combined before the shuffle
-    byte_equal = rows.groupBy("hash", "chunk").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"))
-    alone = byte_equal.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("home").alias("home"), F.max("last").alias("last"))
-    shared = alone.where("texts = 1 and home < last").select("hash", "home")
-    found = rows.select("doc_id", "hash").join(shared, "hash").where("doc_id > home")
+    byte_equal = rows.groupBy("hash", "chunk").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    alone = byte_equal.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("home").alias("home"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    salts = F.ceil(F.col("n") / HOT_CHUNK)
+    shared = written(alone.where("texts = 1 and home < last").select("hash", "home", salts.alias("salts")), "shared-chunks")
+    # rows of a hot chunk are spread over as many keys as it takes
+    hot = smaller(shared.where("salts > 1").select("hash", "salts"))
+    spread = rows.select("doc_id", "hash").join(hot, "hash", "left")
+    spread = spread.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0).cast("bigint"))).drop("salts")
+    keys = shared.select("hash", "home", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+    found = spread.join(keys, ["hash", "salt"]).where("doc_id > home")
     return found.groupBy("doc_id").agg(F.collect_set(F.struct("hash", "home")).alias("removable"))
 
 
