@@ -190,7 +190,9 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         keyed = written(signed.select("node", "tree", F.xxhash64("tree", prefix).alias("key")), "keys")
         counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("first")).where("c > 1")
         counts = written(counts, "regions")
-        few = keyed.select("node", "key").join(counts.where(F.col("c") <= REGION).select("key"), "key")
+        # members of crowds stay out of this shuffle, which would bring each crowd to one task
+        few = keyed.select("node", "key").join(smaller(counts.where(F.col("c") > REGION).select("key")), "key", "left_anti")
+        few = few.join(counts.where(F.col("c") <= REGION).select("key"), "key")
         small.append(few.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members"))
         crowded = counts.where(F.col("c") > REGION).select("key", "first")
         if crowded.isEmpty():
