@@ -337,3 +337,31 @@ def _linked_in_crowds(members: DataFrame, sizes: DataFrame, sets: DataFrame, lea
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(work, PAIRS)
+
+
+def oracle_sql(width: int, percent: int) -> str:
+    """similar_components() and kept in DuckDB SQL, over all pairs that share a shingle; for small tables."""
+    words = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - {width - 1}), lambda i: {words})) END AS s FROM words
+), posts AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM posts a JOIN posts b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), edges AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT e.v, r.root FROM reach r JOIN edges e ON r.node = e.u
+), least AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM sets s JOIN least l ON s.doc_id = l.node
+"""

@@ -108,4 +108,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": mixing.ORACLE_SQL}
+    return {"op3_source_mix": mixing.ORACLE_SQL, "op5_lsh_forest": near_dedup.oracle_sql(3, 85)}

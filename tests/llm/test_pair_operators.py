@@ -60,6 +60,15 @@ def test_op5_against_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_op5_oracle_agrees(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    same([r[:3] for r in con.sql(queries.oracle_sql()["op5_lsh_forest"]).fetchall()], exact_components(rows, 3, 85))
+
+
 def edited(rng, words, n):
     words = list(words)
     for _ in range(n):
