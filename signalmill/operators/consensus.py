@@ -19,7 +19,7 @@ def sequenced(broadcasts: DataFrame) -> DataFrame:
     positive value uses its number up, too, but isn't accepted.  uid_values is a map.
     """
     before = W.partitionBy("sender").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
-    last = F.coalesce(F.max("seq").over(before), F.lit(-1))
+    last = F.greatest(F.max("seq").over(before), F.lit(-1))  # numbers below 0 never count
     out = broadcasts.withColumn("uid_values", positive("uid_values")).withColumn("__last", last)
     reason = F.when(F.col("seq") <= F.col("__last"), "duplicate_or_old_seq").when(F.size("uid_values") == 0, "empty_payload").otherwise("accepted")
     return out.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("__last")

@@ -15,7 +15,9 @@ from ..functions import classify, matching, scoring, text
 from ..functions.scoring import Economy
 from ..operators import consensus, dispatch, ledger, lifecycle, validation, votes, weights
 from ..sources import readers
+from ..session import SETTINGS
 from ..sources.registries import NO_ASSET, OTHER_SECTOR, SECTORS, SOURCE_CREDIBILITY, Entry
+from ..streaming import epochs, processors, sink
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,7 +238,7 @@ def q_epoch_maps(spark, sf):
 
 
 B = f"""{E}, b AS ({I.BROADCASTS_SQL}), s AS (
-  SELECT *, CASE WHEN seq <= coalesce(max(seq) OVER (PARTITION BY sender ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 'duplicate_or_old_seq' WHEN value <= 0 THEN 'empty_payload' ELSE 'accepted' END AS reason FROM b
+  SELECT *, CASE WHEN seq <= greatest(coalesce(max(seq) OVER (PARTITION BY sender ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), -1) THEN 'duplicate_or_old_seq' WHEN value <= 0 THEN 'empty_payload' ELSE 'accepted' END AS reason FROM b
 ), kept AS (
   SELECT epoch, sender, arg_max(uid, arrival) AS uid, arg_max(value, arrival) AS value FROM s WHERE reason = 'accepted' GROUP BY epoch, sender
 ), snap AS (
@@ -631,6 +633,32 @@ def q_classify_rules(spark, sf):
     return d.select("doc_id", c.alias("c")).select("doc_id", "c.id", "c.confidence", *[f"c.{x}" for x in classify.DIMENSIONS])
 
 
+def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = I.table(spark, sf, "events").schema
+    key = "spark.sql.streaming.stateStore.providerClass"  # keyed state needs this store
+    spark.conf.set(key, SETTINGS[key])
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")  # a pattern, as the table may be one file
+
+
+@query()
+def q_stream_epoch(spark, sf):
+    """Rewards by epoch as a stream settles them: all but the last epochs, which the watermark holds back."""
+    e = _events_stream(spark, sf).where("event_type IN ('purchase', 'click')")
+    rows = e.select(F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("hk"), F.col("user_id").cast("string")).alias("hotkey"), F.lit(1).cast("long").alias("amount"))
+    return sink.drained(epochs.epoch_points(rows), "stream-epoch")
+
+
+@query(f"{B} SELECT sender, arrival, seq, reason FROM s")
+def q_stream_dedup(spark, sf):
+    """Sequence numbers accepted by keyed state over a stream, as q_broadcast_dedup does by a window."""
+    e = _events_stream(spark, sf)
+    rows = e.select(
+        F.concat(F.lit("v"), F.pmod("user_id", F.lit(20)).cast("string")).alias("sender"), F.col("event_id").alias("arrival"),
+        (F.col("event_id") - F.pmod(F.col("event_id") * 31, F.lit(97)) + F.when(F.pmod("event_id", F.lit(500)) == 0, 100).otherwise(0)).alias("seq"), (F.pmod(F.floor("value"), F.lit(5)) > 0).alias("positive"),
+    )
+    return sink.drained(processors.with_state(rows, "sender", processors.SequenceProcessor()), "stream-dedup").select("sender", "arrival", "seq", "reason")
+
+
 @query(_match_sql(I.FIXTURE, I.FIXTURE[-1], "(SELECT doc_id, 'Doc ' || doc_id || chr(10) || chr(10) || substr(text, 1, 3000) AS text FROM documents)") + f"""
 , v AS (SELECT m.id, 0.5 * CASE WHEN m.id <> 9 THEN 1 ELSE 0 END + 0.4 * (0.6 * 0.5 + 0.4) AS score FROM matched m)
 SELECT id AS label, count(*) AS n, round(avg(score), 6) AS mean_score FROM v GROUP BY id""")
