@@ -24,27 +24,30 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     else:
         below = with_least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = below.unionByName(least.where("u <> m").select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node of edges has one larger-to-smaller edge or is where such edges end."""
+    rows, tails = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return rows == tails and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root) of every node with an edge of (u, v); the root is the least node reachable.
 
-    Large and small stars alternate until nothing changes, which takes a logarithmic
+    Large and small stars alternate until only stars are left, which takes a logarithmic
     number of rounds; each round is written to the shared folder.
     """
     u, v = F.col("u"), F.col("v")
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
-    state = None
     for _ in range(most_rounds):
-        now = written(_toward_least(_toward_least(edges, True), False), "edges")
-        seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if _is_stars(edges):
+            break
+        now = written(_toward_least(_toward_least(edges, True), False).distinct(), "edges")
         dropped(edges.sparkSession, edges)
         edges = now
-        if seen == state:
-            break
-        state = seen
     else:
         raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))

@@ -36,7 +36,7 @@ from .storage import dropped, smaller, written
 #: Values of a signature, trees of the forest, and how far each tree's rotation is from the last.
 SIGNATURE, TREES, STEP = 64, 16, 4
 #: Prefix lengths, in the order they are tried.
-DEPTHS = (3, 5, 8, 12, 20, 32, 64)
+DEPTHS = (3, 6, 12, 24, 64)
 #: A region of more nodes is crowded.
 REGION = 64
 #: Members of a crowd are compared in blocks of about so many.
@@ -261,18 +261,16 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
         dropped(spark, sets)
         return links
 
-    links = confirmed(first)
-    roots = components(links)
+    roots = components(confirmed(first))
     second = written(_ordered(candidates(roots)).join(first, ["u", "v"], "left_anti"), "pairs")
+    known = lambda: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))  # noqa: E731  as good as all links so far
     if not second.isEmpty():
-        links = links.unionByName(confirmed(second))
-        roots = components(links)
+        roots = components(known().unionByName(confirmed(second)))
     rest = _rest_of_crowds(crowd, roots)
     if rest is not None:
         members, sizes = rest
         sets = sets_of(members.select("node").distinct()).join(nodes.select("node", "signature"), "node")
-        links = links.unionByName(_linked_in_crowds(members, sizes, sets, least_equal, percent))
-        roots = components(links)
+        roots = components(known().unionByName(_linked_in_crowds(members, sizes, sets, least_equal, percent)))
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = rooted.join(named, "root").select("node", "component_id")
