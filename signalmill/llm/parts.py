@@ -9,14 +9,14 @@ import numpy as np
 from .hashing import hasher
 
 #: Parts that a worker remembers; beyond that it starts afresh.
-MEMO = 3_000_000
+MEMO = 1_000_000
 STOP, PLAIN = np.zeros(256, bool), np.zeros(256, bool)
-STOP[list(b".,")] = True
+STOP[list(rb"""!"#$%&()*+,-./:;=?@[\]^_`{}~""")] = True  # without apostrophes, and what marks added tokens
 PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = True
 
 
 def split_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans cut before the run of '.' and ',' that ends them, where a letter or digit of ASCII is before it."""
+    """Spans cut before the run of symbols that ends them, where a letter or digit of ASCII is before it."""
     last = ends - 1
     stopped = np.flatnonzero(STOP[data[last]])
     if not len(stopped):
