@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .hashing import batches, hasher
 from .parts import PartMemo, split_stops
-from .storage import worker_state
+from .storage import small_batches, worker_state
 
 #: The pre-token pattern of byte-level BPE, with white space as Unicode has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -223,6 +223,6 @@ def decoder(spark: SparkSession, path: str):
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
     """All columns of documents with token_ids and decoded."""
-    spark = documents.sparkSession
+    spark = small_batches(documents).sparkSession
     out = documents.withColumn("token_ids", encoder(spark, path)("text"))
     return out.withColumn("decoded", decoder(spark, path)("token_ids"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import hasher, mixed, stream
-from .storage import smaller, written
+from .storage import small_batches, smaller, written
 
 #: A line of so many words is a chunk of its own; a chunk, or chunks in a row, of so many words is a passage.
 LONG_LINE, PASSAGE = 20, 50
@@ -131,7 +131,7 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
 
 def deduplicated(documents: DataFrame, prefix: str = "__lines_") -> DataFrame:
     """All columns of documents and, under prefix: text (cleaned), n_removed_lines, n_removed_words."""
-    found = repeated_chunks(documents.select("doc_id", "text")).withColumnsRenamed({"doc_id": f"{prefix}doc", "removable": f"{prefix}removable"})
+    found = repeated_chunks(small_batches(documents).select("doc_id", "text")).withColumnsRenamed({"doc_id": f"{prefix}doc", "removable": f"{prefix}removable"})
     out = documents.join(found, documents["doc_id"] == found[f"{prefix}doc"], "left")
     out = out.withColumn(f"{prefix}out", clean("text", f"{prefix}removable")).drop(f"{prefix}doc", f"{prefix}removable")
     parts = {f"{prefix}{c}": F.col(f"{prefix}out")[c] for c in CLEANED.names}

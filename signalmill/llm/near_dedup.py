@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .hashing import batches, hasher, mixed, shingles, stream
-from .storage import dropped, smaller, written
+from .storage import dropped, small_batches, smaller, written
 
 #: Values of a signature, trees of the forest, and how far each tree's rotation is from the last.
 SIGNATURE, TREES, STEP = 64, 16, 4
@@ -225,7 +225,7 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     # estimates vary by some 0.045 around the threshold; four times that below it, one pair in 30,000 is missed
     share = percent / 100
     least_equal = int(SIGNATURE * (share - 4 * (share * (1 - share) / SIGNATURE) ** 0.5))
-    spark = documents.sparkSession
+    spark = small_batches(documents).sparkSession
     sketches = documents.select("doc_id", sketcher(width)("text").alias("k")).select("doc_id", "k.n", "k.node", "k.signature")
     sketches = written(sketches, "sketches")
     nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("signature").alias("signature"))

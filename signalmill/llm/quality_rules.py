@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import batches, hasher, shingles
+from .storage import small_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_lines", "n_chars")
 SYMBOLS = np.zeros(256, bool)
@@ -202,7 +203,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABE
     """Learn the list from labels.quality of at most max_labelled rows, those of smallest hash of doc_id."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    counted = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("__c", text_counts("text"))
+    counted = small_batches(documents).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("__c", text_counts("text"))
     named = features(F.col("__c"))
     rows = counted.select("doc_id", "__quality", *[c.alias(k) for k, c in named.items()]).toPandas()
     rows = rows.sort_values(["doc_id", *named], kind="stable")
@@ -219,6 +220,6 @@ def base_failed(c: Column) -> Column:
 def judged(documents: DataFrame, rules: DecisionList, prefix: str = "__quality_") -> DataFrame:
     """All columns of documents and, under prefix: counts, base_failed, rule, kept."""
     c = F.col(f"{prefix}counts")
-    out = documents.withColumn(f"{prefix}counts", text_counts("text"))
+    out = small_batches(documents).withColumn(f"{prefix}counts", text_counts("text"))
     out = out.withColumn(f"{prefix}base_failed", base_failed(c)).withColumn(f"{prefix}rule", rules.column(c))
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.col(f"{prefix}rule").isNull())

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import small_batches
+
 #: Kinds in the order that spans at one start take; the first three are the base.
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "forge_token", "cloud_key", "url_login")
 BASE = KINDS[:3]
@@ -98,7 +100,7 @@ class BlobLedger:
         Only ids travel to find the new blobs and a row that carries each; the
         texts move once, to meet the chosen rows.
         """
-        rows = versions.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("blob_id", blob_id(F.col("text")))
+        rows = small_batches(versions).select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("blob_id", blob_id(F.col("text")))
         # a text without any version key still needs a row to be read from
         first = rows.groupBy("blob_id").agg(F.min("key").alias("key"))
         if (known := self.findings()) is not None:

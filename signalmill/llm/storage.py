@@ -42,6 +42,19 @@ def smaller(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
+#: Rows of whole texts to an Arrow batch; Spark's own 10,000 make hundreds of MB with their copies.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have few rows from now on, so that workers stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 #: About this many labelled and as many unlabelled rows train the classifier.
 MAX_LABELLED = MAX_UNLABELLED = 20_000
 #: At most this many words are features.
@@ -87,7 +89,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABE
     share of all documents by hash of doc_id, about max_unlabelled. Words stand in
     least_share of the positives at least, else copies of one text would bring theirs.
     """
-    documents = documents.select("doc_id", "text").where(~held_out(F.col("doc_id")))
+    documents = small_batches(documents).select("doc_id", "text").where(~held_out(F.col("doc_id")))
     labels = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     chosen = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     share = min(1.0, max_unlabelled / max(1, documents.count()))

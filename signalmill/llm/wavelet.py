@@ -38,7 +38,7 @@ from tokenizers import Tokenizer
 from .bpe import vocabulary_file
 from .hashing import batches, hasher
 from .parts import PartMemo, split_stops
-from .storage import fresh_path, worker_state
+from .storage import fresh_path, small_batches, worker_state
 
 MAGIC = b"SMWVM01\n"
 BLOCK = 4096
@@ -178,10 +178,10 @@ def unpacked(content: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarra
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each distinct word.
 
-    The vocabulary's normaliser drops white space and its pre-tokenizer puts stops that
+    The vocabulary's normaliser drops white space and its pre-tokenizer puts symbols that
     follow a letter or digit in a pre-token of their own.  So the ids of a text are
-    those of its parts in a row: runs between ASCII white space, less the run of '.' and
-    ',' that may end them, and that run.  Parts are told apart by 64-bit hashes, for
+    those of its parts in a row: runs between ASCII white space, less the run of symbols
+    that may end them, and that run.  Parts are told apart by 64-bit hashes, for
     whole batches at once.
     """
 
@@ -262,7 +262,7 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, *, end_id: i
     Documents are dealt by ranges of doc_id, so a task holds one range and one
     open shard at a time.  A task that runs again writes the same files.
     """
-    spark = documents.sparkSession
+    spark = small_batches(documents).sparkSession
     shared = vocabulary_file(spark, tokenizer)
 
     def work(chunks):
