@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .storage import worker_state
+from .storage import trimmed, worker_state
 
 #: Bytes of text that are hashed at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 21
@@ -79,7 +79,7 @@ def hasher() -> TextHasher:
 
 
 def batches(texts: list[bytes]):
-    """Consecutive (first, texts) of about BATCH_BYTES."""
+    """Consecutive (first, texts) of about BATCH_BYTES; afterwards, freed memory is given back."""
     first = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > BATCH_BYTES:
@@ -88,6 +88,7 @@ def batches(texts: list[bytes]):
         size += len(t) + 1
     if first < len(texts):
         yield first, texts[first:]
+    trimmed()
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import hasher, mixed, stream
-from .storage import small_batches, smaller, written
+from .storage import small_batches, smaller, trimmed, written
 
 #: A line of so many words is a chunk of its own; a chunk, or chunks in a row, of so many words is a passage.
 LONG_LINE, PASSAGE = 20, 50
@@ -78,6 +78,7 @@ def chunks_of(texts: pa.Array) -> pa.Array:
         hashes += found
         parts += [t[c[0] : c[1]] for c in found.values()]
         offsets.append(len(hashes))
+    trimmed()
     flat = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(parts, pa.binary())], ["hash", "chunk"])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 

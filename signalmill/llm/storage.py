@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,13 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def trimmed() -> None:
+    """Give memory that this worker has freed back to the system: it outlives stages, and freed blocks add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def worker_state() -> dict:
     """A dictionary that lives as long as this Python worker does."""
     name = "_signalmill_worker_state"
