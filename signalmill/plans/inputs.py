@@ -46,7 +46,8 @@ POSTS_SQL = f"""
 
 
 def participants(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "customer").where(F.col("c_custkey") <= PARTICIPANTS)
+    """All customers as participants; PARTICIPANTS_SQL still has the first PARTICIPANTS only, which are all of the smallest tables."""
+    c = table(spark, folder, "customer")
     uid = (F.col("c_custkey") - 1).cast("int")
     return c.select(uid.alias("uid"), F.concat(F.lit("hk"), uid.cast("string")).alias("hotkey"), F.col("c_acctbal").alias("stake"), (F.col("c_nationkey") % 2 == 0).alias("validator_permit"), (F.col("c_nationkey") % 3 != 0).alias("is_serving"))
 

@@ -349,6 +349,11 @@ def _stakes(spark: SparkSession, sf: str) -> DataFrame:
     return I.participants(spark, sf).select("uid", F.greatest(F.col("stake"), F.lit(0.0)).alias("weight"))
 
 
+def _length() -> Column:
+    """Slots of a registry: as many as it has participants, and enough for its last uid."""
+    return F.greatest(F.count(F.lit(1)), F.max("uid") + 1)
+
+
 STAKES = f"WITH part AS ({I.PARTICIPANTS_SQL}), s AS (SELECT uid, greatest(stake, 0) AS weight FROM part)"
 
 
@@ -386,14 +391,17 @@ def q_l1_norm(spark, sf):
 @query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT uid, CASE WHEN uid % 9 = 0 OR uid >= 140 THEN 0.0 ELSE round(stake, 6) END AS score FROM part")
 def q_resync(spark, sf):
     now = I.participants(spark, sf)
-    before = now.where("uid < 140").select("uid", F.when(F.col("uid") % 9 == 0, "old").otherwise(F.col("hotkey")).alias("hotkey"))
+    # the last ten of the registry are new
+    size = now.agg(_length().alias("size"))
+    before = now.crossJoin(F.broadcast(size)).where("uid < size - 10").select("uid", F.when(F.col("uid") % 9 == 0, "old").otherwise(F.col("hotkey")).alias("hotkey"))
     return weights.resynced(now.select("uid", F.col("stake").alias("score")), before, now).select("uid", r6("score").alias("score"))
 
 
 @query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT CAST(k AS INTEGER) AS uid, coalesce(round(stake, 6), 0.0) AS weight FROM range(0, 160) t(k) LEFT JOIN part ON part.uid = t.k")
 def q_dense_weights(spark, sf):
     p = I.participants(spark, sf).select("uid", F.col("stake").alias("weight"))
-    return weights.dense(p, 160).select("uid", r6("weight").alias("weight"))
+    # ten free slots behind the registry
+    return weights.dense(p, p.agg(_length()).first()[0] + 10).select("uid", r6("weight").alias("weight"))
 
 
 def _reviews(spark: SparkSession, sf: str) -> DataFrame:
