@@ -8,8 +8,14 @@ chunk that other documents share is removed from all but its home, the document
 of smallest id, if it has several lines or is a passage of many words; chunks in a
 row that share a home count as one passage.
 
+Cuts near the ends of a passage of short lines depend on its neighbours too, so the
+pairs of lines next to each other (blank ones between them left out) are looked up
+as well: lines whose pairs all stand in earlier documents, whichever these are, are
+a run, and a run of many words goes whole, however it was cut.
+
 Grouping is by hash and by the bytes of the chunk, so equal hashes of different
-bytes are told apart; such hashes are then left alone.
+bytes are told apart; such hashes are then left alone.  For the bytes of a pair
+stands a cryptographic digest of them.
 
 Defined results: a null text stays null and an empty one empty; rows of one
 doc_id are one document, so a chunk is never removed for standing in it twice;
@@ -19,6 +25,8 @@ lines go with the chunk they are in, and don't count.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,18 +73,31 @@ def cut(text: bytes) -> list[tuple[int, int, int, int, int]]:
     return list(zip(froms.tolist(), tos.tolist(), ids.view(np.int64).tolist(), (full[last] - full[first]).tolist(), (total[last] - total[first]).tolist(), strict=True))
 
 
+def pairs(lines: list[bytes]) -> list[tuple[int, int, int, bytes]]:
+    """Pairs of lines that hold a word and follow each other but for blank ones: their places, hash and digest."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    out = []
+    for i, j in zip(full, full[1:]):
+        digest = blake2b(lines[i] + b"\n" + lines[j], digest_size=16, person=b"pair of lines").digest()
+        out.append((i, j, int.from_bytes(digest[:8], "little", signed=True), digest[8:]))
+    return out
+
+
 CHUNK = T.StructType([T.StructField("hash", T.LongType()), T.StructField("chunk", T.BinaryType())])
 CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed_lines", T.LongType()), T.StructField("n_removed_words", T.LongType())])
 
 
 @F.arrow_udf(T.ArrayType(CHUNK))
 def chunks_of(texts: pa.Array) -> pa.Array:
-    """The distinct chunks of each text that hold a word."""
+    """The distinct chunks of each text that hold a word, and the pairs of lines of a text with room for a passage."""
     offsets, hashes, parts = [0], [], []
     for t in texts.cast(pa.binary()).to_pylist():
-        found = {c[2]: c for c in cut(t or b"") if c[3]}
+        chunks = [c for c in cut(t or b"") if c[3]]
+        found = {c[2]: t[c[0] : c[1]] for c in chunks}
+        if sum(c[4] for c in chunks) >= PASSAGE:
+            found |= {h: digest for _, _, h, digest in pairs(t.split(b"\n"))}
         hashes += found
-        parts += [t[c[0] : c[1]] for c in found.values()]
+        parts += found.values()
         offsets.append(len(hashes))
     trimmed()
     flat = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(parts, pa.binary())], ["hash", "chunk"])
@@ -84,9 +105,14 @@ def chunks_of(texts: pa.Array) -> pa.Array:
 
 
 def cleaned_text(text: bytes, homes: dict[int, int]) -> tuple[bytes, int, int]:
-    """The text without its repeated chunks, the full lines and the words removed. homes: of repeated chunks."""
+    """The text without its repeated chunks, the full lines and the words removed. homes: of repeated chunks and pairs."""
     chunks = cut(text)
-    gone = [False] * len(chunks)
+    lines = text.split(b"\n")
+    words = [len(x.split()) for x in lines]
+    gone = [False] * len(lines)
+    firsts = [0]
+    for c in chunks:
+        firsts.append(firsts[-1] + text.count(b"\n", c[0], c[1]) + 1)
     i = 0
     while i < len(chunks):
         home = homes.get(chunks[i][2])
@@ -97,11 +123,22 @@ def cleaned_text(text: bytes, homes: dict[int, int]) -> tuple[bytes, int, int]:
                 j += 1
             passage = sum(c[4] for c in chunks[i:j]) >= PASSAGE
             for k in range(i, j):
-                gone[k] = bool(chunks[k][3]) and (passage or chunks[k][3] > 1)
+                if chunks[k][3] and (passage or chunks[k][3] > 1):
+                    gone[firsts[k] : firsts[k + 1]] = [True] * (firsts[k + 1] - firsts[k])
         i = j
-    left = [text[c[0] : c[1]] for c, g in zip(chunks, gone, strict=True) if not g]
-    out = [c for c, g in zip(chunks, gone, strict=True) if g]
-    return b"\n".join(left), sum(c[3] for c in out), sum(c[4] for c in out)
+    runs = []
+    for i, j, h, _ in pairs(lines):
+        if h in homes:
+            if runs and runs[-1][1] == i:
+                runs[-1][1] = j
+            else:
+                runs.append([i, j])
+    for i, j in runs:
+        if sum(words[i : j + 1]) >= PASSAGE:
+            gone[i : j + 1] = [True] * (j + 1 - i)
+    left = [x for x, g in zip(lines, gone, strict=True) if not g]
+    out = [w for w, g in zip(words, gone, strict=True) if g]
+    return b"\n".join(left), sum(w > 0 for w in out), sum(out)
 
 
 @F.arrow_udf(CLEANED)
@@ -114,7 +151,7 @@ def clean(texts: pa.Array, removable: pa.Array) -> pa.Array:
 
 
 def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """(doc_id, removable array<struct<hash, home>>) of documents with chunks whose home is another document."""
+    """(doc_id, removable array<struct<hash, home>>) of documents with chunks or pairs of lines whose home is another document."""
     rows = documents.where("doc_id is not null").select("doc_id", F.explode(chunks_of("text")).alias("c")).select("doc_id", "c.hash", "c.chunk")
     # the bytes are part of the key: chunks are equal only if these are; copies are combined before the shuffle
     byte_equal = rows.groupBy("hash", "chunk").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
