@@ -30,14 +30,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id.
+    """One row of each group of near-duplicates stays: the first by id and hash of the text.
 
-    Of rows with equal id and text one stays; rows without an id are never removed.
+    Of rows with equal id and text one stays; rows without an id are not removed as near copies.
     """
-    found = near_dedup.similar_components(docs.select("doc_id", "text"), width=5, percent=80)
-    gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    out = docs.join(smaller(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    found = near_dedup.similar_components(docs.select("doc_id", "text"), width=5, percent=80, keepers=True)
+    found = written(found.select("doc_id", "text_hash", "kept"), "kept")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_text")).distinct()
+    gone = smaller(written(gone, "gone"))
+    out = docs.join(gone, (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__gone_text")), "left_anti")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id", "text"])
 

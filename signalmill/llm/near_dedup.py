@@ -215,20 +215,25 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 80, keepers: bool = False) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id.
 
     Documents are linked whose sets of `width`-word shingles (lower-cased) have an
     intersection of at least percent % of their union; component_id is the smallest
-    doc_id that links reach.
+    doc_id that links reach.  With keepers, also text_hash, and kept: whether the row
+    is its component's first by doc_id, null ids last, and text_hash, or has no words or id.
     """
     # estimates vary by some 0.045 around the threshold; four times that below it, one pair in 30,000 is missed
     share = percent / 100
     least_equal = int(SIGNATURE * (share - 4 * (share * (1 - share) / SIGNATURE) ** 0.5))
     spark = small_batches(documents).sparkSession
-    sketches = documents.select("doc_id", sketcher(width)("text").alias("k")).select("doc_id", "k.n", "k.node", "k.signature")
+    text_hash = [F.xxhash64("text").alias("text_hash")] if keepers else []
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash") if keepers else None
+    first_of = lambda c: [F.min(c).alias("keeper")] if keepers else []
+    extra = ["keeper"] if keepers else []
+    sketches = documents.select("doc_id", *text_hash, sketcher(width)("text").alias("k")).select("doc_id", *(["text_hash"] if keepers else []), "k.n", "k.node", "k.signature")
     sketches = written(sketches, "sketches")
-    nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("signature").alias("signature"))
+    nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("signature").alias("signature"), *first_of(place))
     nodes = written(nodes, "nodes")
     small, stars, crowd = regions(nodes.select("node", "signature"))
     small = written(small.withColumn("region", F.xxhash64("members")), "members")
@@ -271,12 +276,13 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
         members, sizes = rest
         sets = sets_of(members.select("node").distinct()).join(nodes.select("node", "signature"), "node")
         roots = components(known().unionByName(_linked_in_crowds(members, sizes, sets, least_equal, percent)))
-    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = rooted.join(named, "root").select("node", "component_id")
-    out = sketches.select("doc_id", "node", F.coalesce("n", F.lit(0)).alias("n_shingles")).join(of_node, "node", "left")
+    rooted = nodes.select("node", "least", *extra).join(roots, "node", "left").select("node", "least", *extra, F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), *first_of("keeper"))
+    of_node = rooted.select("node", "root").join(named, "root").select("node", "component_id", *extra)
+    kept = [F.col("text_hash"), (F.col("node").isNull() | F.col("doc_id").isNull() | F.col("keeper").eqNullSafe(place)).alias("kept")] if keepers else []
+    out = sketches.join(of_node, "node", "left")
     dropped(spark, small, first, second)
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *kept)
 
 
 def _rest_of_crowds(crowd: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame] | None:
