@@ -1,8 +1,11 @@
 """MinHash near-duplicates by an LSH forest.
 
 Equal shingle sets are one node from the start, so copies cost no pairs.  Each
-tree of the forest sorts the nodes by another rotation of their signature; nodes
-with a common prefix form a region.  A region of few nodes gives candidates at
+tree of the forest takes another rotation of their signature.  No tree is sorted and
+no neighbours by longest common prefix are taken: nodes are grouped by a hash of a
+prefix of fixed length instead, as groups need no total order over all nodes and hold
+all pairs with that prefix, of which sorted neighbours would be a part.  Nodes with a
+common prefix form a region.  A region of few nodes gives candidates at
 the shortest prefix; a crowded one links its members to one leader each and is
 looked at again with longer prefixes.  Within a region only the pairs of a
 spanning forest by estimated similarity become candidates; those are confirmed on
