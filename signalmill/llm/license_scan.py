@@ -121,7 +121,8 @@ def _rules() -> list[Rule]:
     add("bsd-2-clause", 2, " simplified bsd ", "simplified bsd(?: license)?")
     add("bsd-2-clause", 2, " freebsd license ", "freebsd license")
     add("bsd-3-clause", 2, " bsd ", "(?:new|modified|revised) bsd license")
-    add("bsd", 3, " bsd license ", "bsd license", "bsd style license")
+    add("bsd", 3, " bsd license ", "bsd license")
+    add("bsd", 3, " bsd style license ", "bsd style license")
     add("apache-2.0", 1, " apache license ", "licensed under the apache license version 2 0", "apache license version 2 0 january 2004")
     for v in ("1 0", "1 1", "2 0"):
         add(f"apache-{v.replace(' ', '.')}", 2, " apache ", f"apache (?:software )?license (?:version |v ?)?{v}", f"apache {v}(?: license)?")
@@ -139,7 +140,8 @@ def _rules() -> list[Rule]:
     add("postgresql", 2, " postgresql license ", "postgresql license")
     add("upl-1.0", 2, " universal permissive ", "universal permissive license(?: v ?| version )?(?:1 0)?")
     add("python-2.0", 2, " python software foundation ", "python software foundation license(?: version 2)?")
-    add("ruby", 2, " ruby license ", "ruby license", "ruby s license")
+    add("ruby", 2, " ruby license ", "ruby license")
+    add("ruby", 2, " ruby s license ", "ruby s license")
     add("php-3.01", 2, " php license ", "php license(?: version)?(?: 3 01)?")
     add("perl", 2, " same terms as perl ", "under the same terms as perl itself")
     add("artistic-2.0", 2, " artistic license ", "artistic license (?:version )?2 0")
@@ -155,7 +157,7 @@ def _rules() -> list[Rule]:
     add("blueoak-1.0.0", 2, " blue oak ", "blue oak model license(?: version)?(?: 1 0 0)?")
     add("zpl", 2, " zope public license ", "zope public license(?: version)?(?: 2 [01])?")
     add("json", 1, " good not evil ", "the software shall be used for good not evil")
-    add("beerware", 2, " beer ", "beer ?ware license", "the beer ware license")
+    add("beerware", 2, " beer", "beer ?ware license", "the beer ware license")
 
     # weak and network copyleft
     for v in ("1 0", "1 1", "2 0"):
