@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import batches, hasher
+from .hashing import batches, hasher, text_batches
 from .parts import PartMemo, split_stops
 from .storage import small_batches, worker_state
 
@@ -202,7 +202,9 @@ def encoder(spark: SparkSession, path: str):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        ids, sizes = codec_of(shared).encode_all([t or b"" for t in texts.cast(pa.binary()).to_pylist()])
+        codec = codec_of(shared)
+        parts = [codec.encode_all(part) for _, part in text_batches(texts)]
+        ids, sizes = (np.concatenate([np.zeros(0, np.int64 if k else np.int32), *[p[k] for p in parts]]) for k in (0, 1))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
     return encode

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from .storage import trimmed, worker_state
 
-#: Bytes of text that are hashed at once; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 21
+#: Bytes of text that are hashed at once; a longer text is a batch of its own, hashed in pieces of this size.
+BATCH_BYTES = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,23 +38,40 @@ class TextHasher:
         self.spaces[[9, 10, 11, 12, 13, 32]] = True
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _reach(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, BATCH_BYTES + 4096)
-            for name, base in (("powers", self.BASE), ("inverses", self.INVERSE)):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+        powers = [np.full(2 * BATCH_BYTES + 1, base, np.uint64) for base in (self.BASE, self.INVERSE)]
+        for p in powers:
+            p[0] = 1
+            np.multiply.accumulate(p, out=p)
+        self.powers, self.inverses = powers
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:end], for non-empty spans."""
-        self._reach(len(data) + 1)
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(self.letters[data] * self.powers[: len(data)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        """Hashes of data[start:end], for non-empty spans in ascending order; memory follows BATCH_BYTES, not data."""
+        out = np.empty(len(starts), np.uint64)
+        i = 0
+        while i < len(starts):
+            first = int(starts[i])
+            if int(ends[i]) - first > BATCH_BYTES:
+                out[i] = self._long(data, first, int(ends[i]))
+                i += 1
+                continue
+            j = i + int(np.searchsorted(ends[i:], first + 2 * BATCH_BYTES, side="right"))
+            last = int(ends[j - 1])
+            sums = np.empty(last - first + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(self.letters[data[first:last]] * self.powers[: last - first], out=sums[1:])
+            a, b = starts[i:j] - first, ends[i:j] - first
+            out[i:j] = (sums[b] - sums[a]) * self.inverses[a] + (b - a).astype(np.uint64)
+            i = j
+        return mixed(out)
+
+    def _long(self, data: np.ndarray, start: int, end: int) -> np.uint64:
+        """What one span adds up to, piece by piece."""
+        total, factor = 0, 1
+        for at in range(start, end, BATCH_BYTES):
+            piece = data[at : min(at + BATCH_BYTES, end)]
+            total += int((self.letters[piece] * self.powers[: len(piece)]).sum(dtype=np.uint64)) * factor
+            factor = factor * pow(self.BASE, len(piece), 1 << 64) % (1 << 64)
+        return np.uint64((total + end - start) % (1 << 64))
 
     def words(self, texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and where each text's words begin (one entry more than texts).
@@ -91,6 +109,22 @@ def batches(texts: list[bytes]):
     trimmed()
 
 
+def text_batches(column: pa.Array):
+    """Consecutive (first, texts) of about BATCH_BYTES of a column of texts, null as empty; only one of them is copied at a time."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)) if len(column) else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes + 1)
+    first = 0
+    while first < len(column):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+        yield first, column.slice(first, last - first).to_pylist()
+        first = last
+    trimmed()
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of `width` words; of the whole sequence if it is shorter, none without words."""
     n = len(words)

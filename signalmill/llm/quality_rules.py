@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import batches, hasher, shingles
+from .hashing import batches, hasher, shingles, text_batches
 from .storage import small_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_lines", "n_chars")
@@ -74,7 +74,7 @@ def count_batch(texts: list[bytes]) -> np.ndarray:
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def text_counts(text: pa.Array) -> pa.Array:
-    rows = count_batch([x or b"" for x in text.cast(pa.binary()).to_pylist()])
+    rows = np.concatenate([np.zeros((0, len(COUNTS)), np.int64), *[count_batch(part) for _, part in text_batches(text)]])
     return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], list(COUNTS))
 
 

@@ -21,8 +21,8 @@ null doc_ids come first; rows with equal doc_id follow by text.
 
 from __future__ import annotations
 
+import os
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import vocabulary_file
-from .hashing import batches, hasher
+from .hashing import hasher, text_batches
 from .parts import PartMemo, split_stops
 from .storage import fresh_path, small_batches, worker_state
 
@@ -186,6 +186,7 @@ class WordEncoder:
     """
 
     def __init__(self, content: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and a pool of threads its own heaps
         self.library = Tokenizer.from_buffer(content)
         self.library.no_padding()
         self.library.no_truncation()
@@ -211,11 +212,13 @@ class WordEncoder:
                 used += len(ids)
             else:
                 rest += some
-        for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-            ids = e.ids
-            offsets[i], sizes[i] = used, len(ids)
-            flat.append(np.array(ids, self.kind))
-            used += len(ids)
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
+            for i, e in zip(some, self.library.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                ids = e.ids
+                offsets[i], sizes[i] = used, len(ids)
+                flat.append(np.array(ids, self.kind))
+                used += len(ids)
         return np.concatenate(flat), offsets, sizes
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,13 +247,11 @@ def encoder_of(shared) -> WordEncoder:
 
 
 def put(path: str, content: bytes) -> None:
-    """Write a file whole or not at all: by another name, then renamed."""
+    """Write a file. Its name is no other attempt's, and only files that a finished task lists in the manifest count."""
     fs, name = pafs.FileSystem.from_uri(path)
     fs.create_dir(name.rpartition("/")[0], recursive=True)
-    other = f"{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(other) as f:
+    with fs.open_output_stream(name) as f:
         f.write(content)
-    fs.move(other, name)
 
 
 MANIFEST = "part int, shard int, path string, n_docs bigint, n_ids bigint"
@@ -260,14 +261,15 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, *, end_id: i
     """Write the ids of all documents in ascending doc_id as files in folder; returns their manifest.
 
     Documents are dealt by ranges of doc_id, so a task holds one range and one
-    open shard at a time.  A task that runs again writes the same files.
+    open shard at a time.  Each attempt of a task writes files of its own; the manifest,
+    which Spark commits, names those of the attempts that finished.
     """
     spark = small_batches(documents).sparkSession
     shared = vocabulary_file(spark, tokenizer)
 
     def work(chunks):
         encoder = encoder_of(shared)
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         names: list[int | None] = []
         encoded: list[np.ndarray] = []
         size = shard = 0
@@ -275,13 +277,13 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, *, end_id: i
         def close():
             ids = np.concatenate(encoded)
             ends = np.cumsum([len(e) for e in encoded])
-            path = f"{folder}/shard-{part:06d}-{shard:05d}.wvm"
+            path = f"{folder}/shard-{part:06d}-{shard:05d}-{attempt}.wvm"
             put(path, packed(ids, names, ends, encoder.width))
             return {"part": part, "shard": shard, "path": path, "n_docs": len(names), "n_ids": len(ids)}
 
         for chunk in chunks:
             doc_ids = chunk.column("doc_id").to_pylist()
-            for first, texts in batches([t or b"" for t in chunk.column("text").cast(pa.binary()).to_pylist()]):
+            for first, texts in text_batches(chunk.column("text")):
                 ids, sizes = encoder.encode(texts, end_id)
                 for d, n, e in zip(doc_ids[first:], sizes.tolist(), np.split(ids, np.cumsum(sizes)[:-1])):
                     names.append(d)
