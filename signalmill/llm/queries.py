@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, license_scan, line_dedup, mixing, near_dedup, permutation_index, quality_rules, secret_scan, toxicity, wavelet
-from .storage import fresh_path, written
+from .storage import fresh_path, small_batches, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="signalmill-")
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -45,17 +47,18 @@ def smaller(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
-#: Rows of whole texts to an Arrow batch; Spark's own 10,000 make hundreds of MB with their copies.
+#: Rows of an Arrow batch of whole texts; Spark's own 10,000 make tens of MB with as many copies.
 BATCH_ROWS = 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have few rows from now on, so that workers stay small."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches, so that Python workers stay small; for entry points, whose session it is.
+
+    Operators leave the caller's session as it is, and work through any batch in pieces.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, BATCH_ROWS)
-    return df
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:

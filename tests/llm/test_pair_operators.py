@@ -156,39 +156,29 @@ def test_op2_odd_vectors(spark, tmp_path):
     assert queries.op2_permutation_index(spark, f"{tmp_path}/none").collect() == []
 
 
-def plain_chunks(text):
-    return [(text.encode()[a:b], full, words) for a, b, _, full, words in line_dedup.cut(text.encode())]
-
-
 def brute_clean(rows):
-    homes = {}
-    for d, t in rows:
-        for c, full, _ in plain_chunks(t or ""):
-            if full and d is not None:
-                homes[c] = (min(d, homes[c][0]), max(d, homes[c][1])) if c in homes else (d, d)
+    """Rows without the lines of runs of 50 words that a document of smaller id holds, too; knows no chunks and no hashes."""
+    full = [[i for i, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)] for _, t in rows]
+    lines = [[t.split("\n")[i] for i in f] if t else [] for (_, t), f in zip(rows, full, strict=True)]
+    words = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    places = {}
+    for r, (d, _) in enumerate(rows):
+        for i, x in enumerate(lines[r] if d is not None else []):
+            places.setdefault(x, []).append((r, i))
     out = []
-    for d, t in rows:
-        if t is None:
-            out.append((d, None, 0, 0))
-            continue
-        chunks, keep, i = plain_chunks(t), [], 0
-        lines = words = 0
-        home = lambda c: homes[c[0]][0] if d is not None and c[1] and homes[c[0]][0] < d else None
-        while i < len(chunks):
-            j = i + 1
-            if (h := home(chunks[i])) is not None:
-                while j < len(chunks) and (home(chunks[j]) == h or not chunks[j][1]):
-                    j += 1
-                passage = sum(c[2] for c in chunks[i:j]) >= line_dedup.PASSAGE
-                for c in chunks[i:j]:
-                    if c[1] and (passage or c[1] > 1):
-                        lines, words = lines + c[1], words + c[2]
-                    else:
-                        keep.append(c[0])
-            else:
-                keep.append(chunks[i][0])
-            i = j
-        out.append((d, b"\n".join(keep).decode(), lines, words))
+    for r, (d, t) in enumerate(rows):
+        own, gone = lines[r], set()
+        for i, x in enumerate(own if d is not None else []):
+            for q, j in places[x]:
+                # a common run begins here if the lines before differ
+                if rows[q][0] < d and not (i and j and own[i - 1] == lines[q][j - 1]):
+                    n = 1
+                    while i + n < len(own) and j + n < len(lines[q]) and own[i + n] == lines[q][j + n]:
+                        n += 1
+                    if sum(map(words, own[i : i + n])) >= 50:
+                        gone.update(range(full[r][i], full[r][i + n - 1] + 1))
+        all_lines = (t or "").split("\n")
+        out.append((d, None if t is None else "\n".join(x for i, x in enumerate(all_lines) if i not in gone), len(gone & set(full[r])), sum(words(all_lines[i]) for i in gone)))
     return out
 
 
@@ -220,7 +210,44 @@ def test_passages_go_and_clean_texts_stay(spark):
         elif i % 4 == 1:
             assert two[0] not in after and two[1] not in after
         elif i % 4 == 2:
-            assert sum(x in after for x in many) <= 4
+            assert not set(many) & set(after)
         else:
             assert before == after
     assert left[0].count(one[0]) == 1
+
+
+def test_chunks_have_several_lines_and_begin_anew(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((3, 8, 30)))).encode()
+    own = [line() for _ in range(4000)]
+    other = own[:1000] + [line()] + own[1000:2500] + own[2510:]
+    a, b = line_dedup.Lines([b"\n".join(own)]), line_dedup.Lines([b"\n".join(other)])
+    first, second = ({x.bytes(*c) for c in x.chunks(0)} for x in (a, b))
+    assert 6 < len(own) / len(first) < 12 and all(1 < c.count(b"\n") + 1 <= 32 for c in first - {a.bytes(*a.chunks(0)[-1])})
+    assert len(first - second) <= 8
+
+
+def test_runs_go_or_stay_whole_at_any_offset(spark):
+    """4 lines of 8 words stay, 7 of 8 go, whatever stands around them; equal hashes of other bytes change nothing."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    short, long = [line(8) for _ in range(4)], [line(8) for _ in range(7)]
+    rows = []
+    for i in range(40):
+        own = [line(rng.choice((2, 9, 25))) for _ in range(i // 2)]
+        at = rng.randrange(len(own) + 1)
+        rows.append((i, "\n".join(own[:at] + (short if i % 2 else long) + own[at:])))
+    out = {r.doc_id: r["__lines_text"].split("\n") for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(set(short) <= set(out[i]) for i in range(1, 40, 2)) and set(long) <= set(out[0])
+    assert not any(set(long) & set(out[i]) for i in range(2, 40, 2))
+
+
+def test_hot_runs_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 7)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    rng = random.Random(7)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    runs = [[line(30) for _ in range(5)] for _ in range(3)]
+    rows = [(i, "\n".join([line(4)] + runs[i % 3][: 2 + i % 4] + [line(5)])) for i in range(60)] + [(i, "\n".join(runs[0])) for i in range(60, 80)]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same([(r.doc_id, r["__lines_text"], r["__lines_n_removed_lines"], r["__lines_n_removed_words"]) for r in out], brute_clean(rows))
