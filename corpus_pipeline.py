@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalmill.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
-from signalmill.llm.storage import fresh_path, smaller, written
+from signalmill.llm.storage import fresh_path, small_batches, smaller, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the learned decision list go."""
+    small_batches(spark)
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.judged(docs, rules).where("__quality_kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go from all but their first document; documents of nothing else go whole."""
+    small_batches(spark)
     out = line_dedup.deduplicated(docs)
     out = out.where((F.col("__lines_n_removed_words") == 0) | (F.trim(F.regexp_replace("__lines_text", r"[\x09-\x0D]", " ")) != ""))
     new = {"text": F.col("__lines_text"), "n_chars": F.length("__lines_text").cast("bigint")}
@@ -34,6 +36,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with equal id and text one stays; rows without an id are not removed as near copies.
     """
+    small_batches(spark)
     found = near_dedup.similar_components(docs.select("doc_id", "text"), width=5, percent=80, keepers=True)
     found = written(found.select("doc_id", "text_hash", "kept"), "kept")
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_text")).distinct()
@@ -46,6 +49,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by their target weights: a document goes, stays, or stands up to three times."""
+    small_batches(spark)
     size = mixing.word_count(F.col("text"))
     sources, shards = mixing.quotas(written(docs.select("doc_id", "source", size.alias("size")), "mix-sizes"))
     out = mixing.taken(docs, sources, shards, size).where("__mix_copies > 0")
@@ -55,6 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids, and whether they decode to the text."""
+    small_batches(spark)
     out = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trips"))
 
