@@ -2,13 +2,17 @@
 
 Per text, an Arrow UDF counts plain statistics.  From labelled statistics,
 :func:`learn` grows conjunctions of thresholds by information gain on one part
-of the rows, prunes them on the other, and keeps a rule only if it is precise
-there.  The list is emitted as one chained Spark conditional, so applying it is
-a projection.
+of the rows, prunes them on the other, and keeps a rule only if it is precise on
+both and met often enough that this is no luck.  Conditions that change nothing go.
+The list is emitted as one chained Spark conditional, so applying it is a projection.
 
 Defined results: a null or empty text has zero words and fails the base rules;
-rows with equal doc_id are judged one by one; without labels, or without rows
-labelled 0, the list is empty and only the base rules reject.
+rows with equal doc_id are judged one by one, and a labelled doc_id of several texts
+gives one of them; without labels, or without rows labelled 0, the list is empty and
+only the base rules reject; ties between conditions go to the first feature and the
+lowest threshold; extra columns come along, and names under the prefix are the
+result's; empty tables give an empty result.  A text is counted whole, whatever its
+length.
 """
 
 from __future__ import annotations
@@ -86,6 +90,8 @@ def features(c: Column) -> dict[str, Column]:
         "digit_share": c["n_digits"] / chars,
         "dup_line_share": c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)),
         "repeat_share": c["n_repeat_words"] / words,
+        "word_length": c["word_chars"] / words,
+        "n_words": c["n_words"].cast("double"),
     }
 
 
@@ -164,12 +170,23 @@ def sure_share(p: int, n: int, z: float = 1.645) -> float:
     return (p / m + z * z / (2 * m) - z * math.sqrt(p / m * (1 - p / m) / m + z * z / (4 * m * m))) / (1 + z * z / m)
 
 
-def learn(table: dict[str, np.ndarray], good: np.ndarray, *, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.95, min_sure: float = 0.7, min_rows: int = 5, cuts: int = 63) -> DecisionList:
+def _simpler(rule: list[Condition], table: dict[str, np.ndarray], rows: np.ndarray) -> list[Condition]:
+    """The rule without conditions that the others imply on these rows."""
+    hit = rows & np.all([c.holds(table) for c in rule], axis=0)
+    for c in list(rule):
+        rest = [x for x in rule if x is not c]
+        if rest and np.array_equal(rows & np.all([x.holds(table) for x in rest], axis=0), hit):
+            rule = rest
+    return rule
+
+
+def learn(table: dict[str, np.ndarray], good: np.ndarray, *, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.95, min_sure: float = 0.8, min_rows: int = 5, min_pruning: int = 3, cuts: int = 63) -> DecisionList:
     """Sequential covering of the rows that are not good.
 
     Every third row prunes, the others grow.  A rule stays if it rejects with
-    min_precision on both parts, at least min_rows rows where it grew, and so many
-    where it is pruned that its precision there is min_sure even if they flatter it.
+    min_precision on both parts, at least min_rows rows where it grew and min_pruning
+    where it was pruned, which it never saw while it grew, and so many on both together
+    that its precision is min_sure even if they flatter it.
     """
     bad = ~np.asarray(good, bool)
     prune = np.arange(len(bad)) % 3 == 2
@@ -189,11 +206,10 @@ def learn(table: dict[str, np.ndarray], good: np.ndarray, *, max_rules: int = 12
             return (p - n) / (p + n) if p + n else -1.0
 
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: (round(score(r), 9), -len(r)))
-        for part, sure in ((~prune, 0.0), (prune, min_sure)):
-            p, n = worth(rule, part)
-            if p < (0 if sure else min_rows) or p < min_precision * (p + n) or sure_share(p, n) < sure:
-                return DecisionList(tuple(rules))
-        rules.append(tuple(rule))
+        parts = [worth(rule, ~prune), worth(rule, prune)]
+        if any(p < least or p < min_precision * (p + n) for (p, n), least in zip(parts, (min_rows, min_pruning), strict=True)) or sure_share(*map(sum, zip(*parts, strict=True))) < min_sure:
+            break
+        rules.append(tuple(_simpler(rule, table, left)))
         left &= ~np.all([c.holds(table) for c in rule], axis=0)
     return DecisionList(tuple(rules))
 
@@ -202,7 +218,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABE
     """Learn the list from labels.quality of at most max_labelled rows, those of smallest hash of doc_id."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    counted = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("__c", text_counts("text"))
+    # a doc_id of many rows gives one text
+    labelled = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("__quality").alias("__quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    counted = labelled.withColumn("__c", text_counts("text"))
     named = features(F.col("__c"))
     rows = counted.select("doc_id", "__quality", *[c.alias(k) for k, c in named.items()]).toPandas()
     rows = rows.sort_values(["doc_id", *named], kind="stable")

@@ -46,9 +46,9 @@ def test_quality_stage(spark, stages):
     rules = quality_rules.fit(read("documents"), read("labels"))
     expected = []
     for r in rows[0]:
-        n, _, symbols, dup, repeat, failed = quality_base(r.text)
+        n, chars, symbols, dup, repeat, failed = quality_base(r.text)
         lines = (r.text or "").split("\n")
-        counts = {"symbols_per_word": symbols / max(n, 1), "upper_share": sum("A" <= c <= "Z" for c in r.text or "") / max(len(r.text or ""), 1), "digit_share": sum("0" <= c <= "9" for c in r.text or "") / max(len(r.text or ""), 1), "dup_line_share": dup / len(lines), "repeat_share": repeat / max(n, 1)}
+        counts = {"symbols_per_word": symbols / max(n, 1), "upper_share": sum("A" <= c <= "Z" for c in r.text or "") / max(len(r.text or ""), 1), "digit_share": sum("0" <= c <= "9" for c in r.text or "") / max(len(r.text or ""), 1), "dup_line_share": dup / len(lines), "repeat_share": repeat / max(n, 1), "word_length": chars / max(n, 1), "n_words": n}
         rejected = any(all(counts[c.feature] > c.threshold if c.above else counts[c.feature] <= c.threshold for c in rule) for rule in rules.rules)
         if not failed and not rejected:
             expected.append(tuple(r))
