@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import math
 import re
 import zlib
 
@@ -205,7 +206,33 @@ def test_op8_held_out_accuracy(spark):
     labels = [(r.toxic, score[r.doc_id]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     hits = sum(s >= 0.5 for t, s in labels if t == 1)
     wrong = sum(s >= 0.5 for t, s in labels if t == 0)
-    assert hits > 0.6 * sum(t for t, _ in labels) and wrong < 0.05 * sum(1 - t for t, _ in labels)
+    assert hits > 0.85 * sum(t for t, _ in labels) and wrong < 0.05 * sum(1 - t for t, _ in labels)
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for x in set(lang.values()):
+        some = [(r.toxic, score[r.doc_id]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and lang[r.doc_id] == x]
+        assert sum(s >= 0.5 for t, s in some if t == 1) > 0.75 * sum(t for t, _ in some) and sum(s >= 0.5 for t, s in some if t == 0) < 0.05 * sum(1 - t for t, _ in some), x
+
+
+def test_op8_scores_by_definition(spark):
+    """Scores from words and beginnings counted without the operator's code; equal labels never reach a score."""
+    folder = "/root/testdata/sf0.01"
+    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    model = toxicity.fit(read("documents"), read("labels"))
+    assert len(model.weights) > 5 and any("-" in name for name in model.weights)
+    turned = read("labels").selectExpr("doc_id", "quality", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - toxic else toxic end as toxic")
+    assert toxicity.fit(read("documents"), turned) == model
+    out = {r.doc_id: (r.text, r.s) for r in read("documents").withColumn("s", model.column("text")).collect()}
+    for text, s in out.values():
+        words = {w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w}
+        z = model.intercept
+        for name, weight in model.weights.items():
+            begin, dash, share = name.partition("-")
+            if not dash:
+                z += weight * (name in words)
+            else:
+                n = sum(len(w) > len(begin) and w.startswith(begin) for w in words)
+                z += weight * (n > 0 if not share else n > 1 and n >= float(share[1:-1]) / 100 * len(words) - 1e-9)
+        assert abs(s - 1 / (1 + math.exp(-z))) < 1e-9
 
 
 def test_op8_odd_rows(spark, odd_dir):
