@@ -1,31 +1,37 @@
 """MinHash near-duplicates by an LSH forest.
 
-Equal shingle sets are one node from the start, so copies cost no pairs.  Each
-tree of the forest takes another rotation of their signature.  No tree is sorted and
-no neighbours by longest common prefix are taken: nodes are grouped by a hash of a
-prefix of fixed length instead, as groups need no total order over all nodes and hold
-all pairs with that prefix, of which sorted neighbours would be a part.  Nodes with a
-common prefix form a region.  A region of few nodes gives candidates at
-the shortest prefix; a crowded one links its members to one leader each and is
-looked at again with longer prefixes.  Within a region only the pairs of a
-spanning forest by estimated similarity become candidates; those are confirmed on
-full sets.  What is then still in different components is looked at once more: in
-small regions all pairs, and in crowds at the shortest prefix, in blocks, those
-outside the largest component against all.
+Equal shingle sets are one node from the start, so copies cost no pairs.  Each tree
+of the forest is the list of all nodes in the order of another rotation of their
+signatures, kept as one range-sorted table.  In a walk along it the longest common
+prefix of neighbours tells regions apart: runs of nodes whose first three values are
+equal.  A region of few nodes gives its pairs as candidates.  A crowded one is cut
+where its common prefix is shortest, again and again, until its parts are small
+enough, so each region is as deep as it has to be; neighbours across such a cut stay
+candidates, too.  Within a region only the pairs of a spanning forest by estimated
+similarity are kept; those are confirmed on full sets.
+
+Nothing is lost in crowds: their members are linked to one leader a tree, and what
+then is still in different components is looked at once more, in small regions all
+pairs, and in crowds, in blocks, those outside the largest component against all.
+Regions that a boundary of the sorted table cuts count as crowds, whatever their size.
 
 Links come from full sets of 64-bit shingle hashes; candidates are missed with
 the probability that a pair shares no prefix in any tree (for a similarity of
-0.85, 16 trees and 3 values: 3e-7).
+0.85, 16 trees and 3 values: 3e-7).  Sets are one node if their 128-bit digests agree.
 
 Defined results: a null text or one without words has an empty set and is linked
-with nothing; fewer words than a shingle are one shingle; rows with equal texts
-share a component, those with equal doc_id are rows of their own; a null doc_id
-never names a component unless all its rows have none; an empty table gives an
-empty result.
+with nothing; fewer words than a shingle are one shingle; a text counts whole,
+whatever its length; rows with equal texts share a component, those with equal
+doc_id are rows of their own; a null doc_id never names a component unless all its
+rows have none; the smallest of tied ids names a component; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,28 +39,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .hashing import batches, hasher, mixed, shingles, stream
+from .hashing import hasher, shingles, stream, text_batches
 from .storage import dropped, smaller, written
 
 #: Values of a signature, trees of the forest, and how far each tree's rotation is from the last.
 SIGNATURE, TREES, STEP = 64, 16, 4
-#: Prefix lengths, in the order they are tried.
-DEPTHS = (3, 6, 12, 24, 64)
+#: Values that nodes of a region share at least, and values that a tree is sorted by.
+LEAST_DEPTH, MOST_DEPTH = 3, 16
 #: A region of more nodes is crowded.
 REGION = 64
+#: Nodes of a crowd that the walk holds at once.
+HELD = 1 << 16
 #: Members of a crowd are compared in blocks of about so many.
 CROWD_BLOCK = 512
+#: Pairs of one node to a key of a join.
+HOT = 200
 
-SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("signature", T.BinaryType())])
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    out: list[np.ndarray] = []
-    for _, part in batches(texts):
+    for _, part in text_batches(texts):
         words, at = hasher().words(part, fold=True)
-        out += [np.unique(shingles(words[at[i] : at[i + 1]], width)) for i in range(len(part))]
-    return out
+        for i in range(len(part)):
+            yield np.unique(shingles(words[at[i] : at[i + 1]], width))
 
 
 def signature(shingle_set: np.ndarray) -> bytes:
@@ -72,33 +81,31 @@ def sketcher(width: int):
 
     @F.arrow_udf(SKETCH)
     def sketch(texts: pa.Array) -> pa.Array:
-        sets = shingle_sets([t or b"" for t in texts.cast(pa.binary()).to_pylist()], width)
-        nodes = [node_number(s) if len(s) else None for s in sets]
-        return pa.StructArray.from_arrays(
-            [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-            ["n", "node", "signature"],
-        )
+        rows = [(len(x), *(node_numbers(x) if len(x) else (None, None)), signature(x) if len(x) else None) for x in shingle_sets(texts, width)]
+        columns = zip(*rows, strict=True) if rows else [()] * 4
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], SKETCH.names)
 
     return sketch
 
 
-def node_number(shingle_set: np.ndarray) -> int:
-    """A hash of a whole set."""
-    return int((mixed(shingle_set).sum(dtype=np.uint64) ^ np.uint64(len(shingle_set))).view(np.int64))
+def node_numbers(shingle_set: np.ndarray) -> tuple[int, int]:
+    """The halves of a digest of a whole set."""
+    digest = blake2b(shingle_set.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _own_sets(width: int):
-    """For mapInArrow over (node, text): (node, set) of the texts that are their node's.
+    """For mapInArrow over (node, check, text): (node, set) of the texts that are their node's.
 
     Not a function of columns, which the optimiser would compute for all texts, before the join.
     """
 
     def work(chunks):
         for chunk in chunks:
-            nodes = chunk.column("node").to_pylist()
-            sets = shingle_sets([t or b"" for t in chunk.column("text").cast(pa.binary()).to_pylist()], width)
-            own = [(n, s.tobytes()) for n, s in zip(nodes, sets, strict=True) if len(s) and node_number(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["node", "set"])
+            nodes, checks = chunk.column("node").to_pylist(), chunk.column("check").to_pylist()
+            sets = shingle_sets(chunk.column("text"), width)
+            own = [(n, x.tobytes()) for n, c, x in zip(nodes, checks, sets, strict=True) if len(x) and node_numbers(x)[1] == c]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["node", "set"])
 
     return work
 
@@ -175,43 +182,101 @@ def _forest_pairs(least_equal: int, spanning: bool):
     return work
 
 
+def _walk(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow along (tree, key, node) in order: members of small regions, and of crowds with their key.
+
+    A crowd's members come with the tree and the prefix they share, other lists with null.
+    """
+    small: list[list[int]] = []
+    crowds: list[tuple[bytes, list[int]]] = []
+
+    def close(nodes: np.ndarray, common: np.ndarray, prefix: bytes, crowded: bool) -> None:
+        """A region, or a part of one: common[i] is what node i shares with the one before."""
+        if crowded or len(nodes) > REGION:
+            crowds.extend((prefix, nodes[k : k + 1024].tolist()) for k in range(0, len(nodes), 1024))
+        parts = [(0, len(nodes))]
+        while parts:
+            a, b = parts.pop()
+            if b - a <= REGION:
+                if b - a > 1:
+                    small.append(nodes[a:b].tolist())
+                continue
+            shortest = common[a + 1 : b].min()
+            if shortest >= MOST_DEPTH:  # no order tells these apart: each block with the first node
+                small.extend([int(nodes[a]), *nodes[k : k + REGION - 1].tolist()] for k in range(a + 1, b, REGION - 1))
+                continue
+            cuts = np.flatnonzero(common[a + 1 : b] == shortest) + a + 1
+            small.extend(nodes[c - 1 : c + 1].tolist() for c in cuts.tolist())
+            parts.extend(zip([a, *cuts.tolist()], [*cuts.tolist(), b], strict=True))
+
+    def batch() -> pa.RecordBatch:
+        prefixes = [None] * len(small) + [p for p, _ in crowds]
+        out = pa.RecordBatch.from_arrays([pa.array(prefixes, pa.binary()), pa.array(small + [m for _, m in crowds], pa.list_(pa.int64()))], names=["prefix", "members"])
+        small.clear()
+        crowds.clear()
+        return out
+
+    last, before, held = None, None, []  # the last row, the open region's prefix, and its parts
+    edge, size = True, 0  # whether the open region may have begun in an earlier partition
+    for chunk in chunks:
+        n = chunk.num_rows
+        if not n:
+            continue
+        trees = chunk.column("tree").to_numpy(zero_copy_only=False)
+        keys = np.frombuffer(b"".join(chunk.column("key").to_pylist()), np.uint32).reshape(n, MOST_DEPTH)
+        rows = np.column_stack([trees.astype(np.uint32), keys])
+        nodes = chunk.column("node").to_numpy(zero_copy_only=False)
+        above = rows[:1] + np.uint32(1) if last is None else last
+        equal = rows == np.concatenate([above, rows[:-1]])
+        common = np.cumprod(equal, axis=1).sum(axis=1) - 1
+        starts = np.flatnonzero(common < LEAST_DEPTH).tolist()
+        bounds = [0, *starts, n]
+        for k in range(len(bounds) - 1):
+            a, b = bounds[k], bounds[k + 1]
+            if k and before is not None:  # a region ends before a
+                if held and (size > 1 or edge):
+                    close(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), before, edge)
+                edge = last is None and k == 1 and a == 0
+            if k:
+                held, size, before = [], 0, rows[a, : LEAST_DEPTH + 1].tobytes()
+            if a < b:
+                held.append((nodes[a:b], common[a:b]))
+                size += b - a
+                if size > HELD:
+                    close(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), before, True)
+                    held, size, edge = [], 0, True
+        last = rows[-1:]
+        if small or crowds:
+            yield batch()
+    if held:
+        close(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), before, True)
+    yield batch()
+
+
 def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of (node, signature): small regions as (members array<bigint>), (u, v) of crowded members and their leaders, and (key, node) of the crowds at the shortest prefix."""
-    twice = F.concat("signature", "signature")
-    trees = nodes.select("node", twice.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    at = F.pmod(F.col("tree") * STEP, F.lit(SIGNATURE)) * 4 + 1
-    key = lambda d: F.xxhash64("tree", F.call_function("substring", F.col("s"), at, F.lit(4 * d)))
-    spark = nodes.sparkSession
-    small, stars, crowd = [], None, spark.createDataFrame([], "key bigint, node bigint")
-    signed = nodes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    at = F.pmod(F.col("tree") * STEP, F.lit(SIGNATURE)) * 4 + 1
+    """Of (node, signature): small regions as (members array<bigint>), (u, v) of members of crowds and their leaders, and (key, node) of the crowds."""
+    at = F.col("tree") * (4 * STEP) + 1
+    key = F.call_function("substring", F.concat("signature", "signature"), at, F.lit(4 * MOST_DEPTH))
+    trees = nodes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("tree", key.alias("key"), "node")
+    forest = trees.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    found = written(forest.mapInArrow(_walk, "prefix binary, members array<bigint>"), "regions")
+    # one order is found in many trees
+    small = found.where("prefix is null").select(F.array_sort("members").alias("members")).distinct()
+    crowd = written(found.where("prefix is not null").select(F.xxhash64("prefix").alias("key"), F.explode("members").alias("node")), "crowds")
     # leaders differ from tree to tree, lest an odd one lead everywhere
-    order = F.xxhash64("node", "tree")
-    for level, depth in enumerate(DEPTHS):
-        prefix = F.call_function("substring", F.concat("signature", "signature"), at, F.lit(4 * depth))
-        # signatures stay behind: only numbers are shuffled
-        keyed = written(signed.select("node", "tree", F.xxhash64("tree", prefix).alias("key")), "keys")
-        counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("first")).where("c > 1")
-        counts = written(counts, "regions")
-        # members of crowds stay out of this shuffle, which would bring each crowd to one task
-        few = keyed.select("node", "key").join(smaller(counts.where(F.col("c") > REGION).select("key")), "key", "left_anti")
-        few = few.join(counts.where(F.col("c") <= REGION).select("key"), "key")
-        small.append(few.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("members")).select("members"))
-        crowded = counts.where(F.col("c") > REGION).select("key", "first")
-        if crowded.isEmpty():
-            break
-        inside = written(keyed.join(smaller(crowded), "key"), "crowded")
-        if level == 0:
-            crowd = inside.select("key", "node")
-        if level == 0 or depth == DEPTHS[-1]:
-            leaders = inside.where(order == F.col("first")).groupBy("key").agg(F.min("node").alias("leader"))
-            led = inside.select("key", "node").join(smaller(leaders), "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-            stars = led if stars is None else stars.unionByName(led)
-        signed = inside.select("node", "tree").join(nodes, "node")
-    out = small[0]
-    for more in small[1:]:
-        out = out.unionByName(more)
-    return out.distinct(), stars if stars is not None else spark.createDataFrame([], PAIRS), crowd
+    leaders = crowd.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    stars = crowd.join(smaller(written(leaders, "leaders")), "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    return small, stars, crowd
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str) -> DataFrame:
+    """pairs with the set of the node on one side; nodes of many pairs, leaders mostly, stand under as many keys as it takes."""
+    salts = pairs.groupBy(side).count().where(F.col("count") > HOT).select(F.col(side).alias("hot"), F.ceil(F.col("count") / HOT).alias("salts"))
+    salts = smaller(written(salts, "hot-nodes"))
+    zero = F.lit(0).cast("bigint")
+    spread = pairs.join(salts, pairs[side] == salts["hot"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), zero)).drop("hot", "salts")
+    every = sets.join(salts, sets["node"] == salts["hot"], "left").withColumn("salt", F.explode(F.sequence(zero, F.coalesce(F.col("salts"), F.lit(1).cast("bigint")) - 1)))
+    return spread.join(every.select(F.col("node").alias(side), F.col("set").alias(name), "salt"), [side, "salt"]).drop("salt")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -234,10 +299,18 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash") if keepers else None
     first_of = lambda c: [F.min(c).alias("keeper")] if keepers else []
     extra = ["keeper"] if keepers else []
-    sketches = documents.select("doc_id", *text_hash, sketcher(width)("text").alias("k")).select("doc_id", *(["text_hash"] if keepers else []), "k.n", "k.node", "k.signature")
+    sketches = documents.select("doc_id", *text_hash, sketcher(width)("text").alias("k")).select("doc_id", *(["text_hash"] if keepers else []), "k.*")
     sketches = written(sketches, "sketches")
-    nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("signature").alias("signature"), *first_of(place))
-    nodes = written(nodes, "nodes")
+
+    def grouped(sketches: DataFrame) -> DataFrame:
+        out = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("signature").alias("signature"), F.min("check").alias("check"), F.max("check").alias("other"), *first_of(place))
+        return written(out, "nodes")
+
+    nodes = grouped(sketches)
+    if not nodes.where("`check` <> other").isEmpty():
+        # sets that differ have one number: the whole digest tells them apart
+        sketches = written(sketches.withColumn("node", F.xxhash64("node", "check")), "sketches")
+        nodes = grouped(sketches)
     small, stars, crowd = regions(nodes.select("node", "signature"))
     small = written(small.withColumn("region", F.xxhash64("members")), "members")
 
@@ -255,16 +328,15 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     first = written(_ordered(candidates(None).unionByName(stars)), "pairs")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        homes = wanted.join(nodes.select("node", "least"), "node")
+        homes = wanted.join(nodes.select("node", "check", "least"), "node")
         texts = documents.select(F.col("doc_id").alias("home"), "text")
         # a doc_id may have several texts, of which only one is this node's
-        own = texts.join(smaller(written(homes, "homes")), F.col("least").eqNullSafe(F.col("home"))).select("node", "text")
+        own = texts.join(smaller(written(homes, "homes")), F.col("least").eqNullSafe(F.col("home"))).select("node", "check", "text")
         return written(own.mapInArrow(_own_sets(width), "node bigint, set binary").dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u")
-        both = both.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+        both = _with_sets(_with_sets(pairs, sets, "u", "v", "a"), sets, "v", "u", "b")
         links = written(both.where(_linked(percent)("a", "b")).select("u", "v"), "links")
         dropped(spark, sets)
         return links

@@ -91,6 +91,35 @@ def test_near_copies_in_crowds(spark, width, percent):
     same(out, exact_components(rows, width, percent))
 
 
+def test_crowds_of_any_size_and_cut_regions(spark, monkeypatch):
+    """Tiny bounds make nearly all regions crowds, cut by tasks and by what a walk holds; no link is lost."""
+    for name, value in (("REGION", 4), ("HELD", 20), ("HOT", 3), ("CROWD_BLOCK", 16)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(12)
+    bases = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (60, 90, 200)]
+    texts = [edited(rng, bases[i % 3], rng.choice((0, 1, 1, 2, 4, 9))) for i in range(240)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    rows = list(enumerate(texts))
+    out = near_dedup.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), width=3, percent=85).collect()
+    same(out, exact_components(rows, 3, 85))
+
+
+def test_walk_keeps_neighbours_by_longest_common_prefix(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "REGION", 3)
+    rng = np.random.default_rng(4)
+    rows = sorted({tuple([t, *(rng.integers(0, 2, 16) * np.array([0] * 3 + [1] * 13)).tolist()]) for t in (0, 1) for _ in range(25)} | {(2, *range(k, k + 16)) for k in range(9)})
+    keys = [np.array(r[1:], ">u4").view("<u4").tobytes() for r in rows]
+    batches = [pa.record_batch({"tree": pa.array([r[0] for r in rows[k : k + 11]], pa.int32()), "key": pa.array(keys[k : k + 11], pa.binary()), "node": pa.array(range(k, min(k + 11, len(rows))), pa.int64())}) for k in range(0, len(rows), 11)]
+    found = [r for b in near_dedup._walk(iter(batches)) for r in b.to_pylist()]
+    pairs = {(x, y) for r in found if r["prefix"] is None for x in r["members"] for y in r["members"] if x < y}
+    for i in range(len(rows) - 1):
+        shared = next((k for k in range(17) if rows[i][k] != rows[i + 1][k]), 17) - 1
+        assert ((i, i + 1) in pairs) == (shared >= 3)
+    crowd = [x for r in found if r["prefix"] is not None for x in r["members"]]
+    assert sorted(crowd) == [i for i, r in enumerate(rows) if r[0] < 2] + [len(rows) - 1] and len(set(crowd)) == len(crowd)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(5000, 5000)]
