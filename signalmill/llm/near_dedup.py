@@ -10,9 +10,11 @@ enough, so each region is as deep as it has to be; neighbours across such a cut
 candidates, too.  Within a region only the pairs of a spanning forest by estimated
 similarity are kept; those are confirmed on full sets.
 
-Nothing is lost in crowds: their members are linked to one leader a tree, and what
-then is still in different components is looked at once more, in small regions all
-pairs, and in crowds, in blocks, those outside the largest component against all.
+Nothing is lost in crowds, of which all trees show the same: their members are linked
+to few leaders and by the parts of few trees.  What then is still in different
+components is looked at once more: in small regions all pairs, in parts of crowds a
+spanning forest, and at last in crowds, in blocks, those outside the largest component
+against all.
 Regions that a boundary of the sorted table cuts count as crowds, whatever their size.
 
 Links come from full sets of 64-bit shingle hashes; candidates are missed with
@@ -48,6 +50,8 @@ SIGNATURE, TREES, STEP = 64, 16, 4
 LEAST_DEPTH, MOST_DEPTH = 3, 16
 #: A region of more nodes is crowded.
 REGION = 64
+#: Crowds have so many leaders, each in every LEADERS-th tree; every FIRST-th tree's parts of crowds are looked at first.
+LEADERS, FIRST = 3, 8
 #: Nodes of a crowd that the walk holds at once.
 HELD = 1 << 16
 #: Members of a crowd are compared in blocks of about so many.
@@ -134,11 +138,11 @@ def _linked(percent: int):
 PAIRS = "u bigint, v bigint"
 
 
-def _forest_pairs(least_equal: int, spanning: bool):
-    """For mapInArrow over regions: candidate pairs of each, by estimated similarity.
+def _forest_pairs(least_equal: int):
+    """For mapInArrow over regions: candidate pairs of each between nodes of different roots, by estimated similarity.
 
-    A region is a list of (node, root, signature); roots are compared only when not
-    spanning, and then pairs of one root are left out.
+    A region is a list of (node, root, signature); where it is spanning, only the pairs
+    of a spanning forest over its roots are candidates.
     """
 
     def work(chunks):
@@ -151,17 +155,19 @@ def _forest_pairs(least_equal: int, spanning: bool):
             nodes = flat.field("node").to_numpy(zero_copy_only=False)
             roots = flat.field("root").to_numpy(zero_copy_only=False)
             signatures = np.frombuffer(b"".join(flat.field("signature").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+            spanning = chunk.column("spanning").to_pylist()
             for k in range(len(members)):
                 a, b = int(bounds[k]), int(bounds[k + 1])
                 s = signatures[a:b]
                 i, j = np.triu_indices(b - a, 1)
+                apart = roots[a + i] != roots[a + j]
+                i, j = i[apart], j[apart]
                 equal = (s[i] == s[j]).sum(axis=1)
                 good = equal >= least_equal
-                if not spanning:
-                    good &= roots[a + i] != roots[a + j]
                 i, j, equal = i[good], j[good], equal[good]
-                if spanning and len(i) > 1:
-                    tops = list(range(b - a))
+                if spanning[k] and len(i) > 1:
+                    _, tops = np.unique(roots[a:b], return_inverse=True)
+                    own, tops = tops.tolist(), list(range(int(tops.max()) + 1))
 
                     def top(x, tops=tops):
                         while tops[x] != x:
@@ -169,7 +175,7 @@ def _forest_pairs(least_equal: int, spanning: bool):
                         return x
 
                     for p in np.lexsort((j, i, -equal)):
-                        x, y = top(int(i[p])), top(int(j[p]))
+                        x, y = top(own[i[p]]), top(own[j[p]])
                         if x != y:
                             tops[x] = y
                             us.append(int(nodes[a + i[p]]))
@@ -185,16 +191,18 @@ def _forest_pairs(least_equal: int, spanning: bool):
 def _walk(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow along (tree, key, node) in order: members of small regions, and of crowds with their key.
 
-    A crowd's members come with the tree and the prefix they share, other lists with null.
+    A crowd's members come with the tree and the prefix they share, other lists with null;
+    rank is 0 for a region, 1 for a part of a crowd, and 2 for one that can wait.
     """
     small: list[list[int]] = []
+    ranks: list[int] = []
     crowds: list[tuple[bytes, list[int]]] = []
 
     def close(nodes: np.ndarray, common: np.ndarray, prefix: bytes, crowded: bool) -> None:
         """A region, or a part of one: common[i] is what node i shares with the one before."""
         if crowded or len(nodes) > REGION:
             crowds.extend((prefix, nodes[k : k + 1024].tolist()) for k in range(0, len(nodes), 1024))
-        parts = [(0, len(nodes))]
+        parts, had = [(0, len(nodes))], len(small)
         while parts:
             a, b = parts.pop()
             if b - a <= REGION:
@@ -208,11 +216,15 @@ def _walk(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(common[a + 1 : b] == shortest) + a + 1
             small.extend(nodes[c - 1 : c + 1].tolist() for c in cuts.tolist())
             parts.extend(zip([a, *cuts.tolist()], [*cuts.tolist(), b], strict=True))
+        rank = 0 if len(nodes) <= REGION else 2 if prefix[0] % FIRST else 1
+        ranks.extend([rank] * (len(small) - had))
 
     def batch() -> pa.RecordBatch:
         prefixes = [None] * len(small) + [p for p, _ in crowds]
-        out = pa.RecordBatch.from_arrays([pa.array(prefixes, pa.binary()), pa.array(small + [m for _, m in crowds], pa.list_(pa.int64()))], names=["prefix", "members"])
+        columns = [pa.array(prefixes, pa.binary()), pa.array(small + [m for _, m in crowds], pa.list_(pa.int64())), pa.array(ranks + [0] * len(crowds), pa.int32())]
+        out = pa.RecordBatch.from_arrays(columns, names=["prefix", "members", "rank"])
         small.clear()
+        ranks.clear()
         crowds.clear()
         return out
 
@@ -254,17 +266,19 @@ def _walk(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of (node, signature): small regions as (members array<bigint>), (u, v) of members of crowds and their leaders, and (key, node) of the crowds."""
+    """Of (node, signature): small regions as (members array<bigint>, rank), (u, v) of members of crowds and their leaders, and (key, node) of the crowds."""
     at = F.col("tree") * (4 * STEP) + 1
     key = F.call_function("substring", F.concat("signature", "signature"), at, F.lit(4 * MOST_DEPTH))
     trees = nodes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("tree", key.alias("key"), "node")
     forest = trees.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = written(forest.mapInArrow(_walk, "prefix binary, members array<bigint>"), "regions")
+    found = written(forest.mapInArrow(_walk, "prefix binary, members array<bigint>, rank int"), "regions")
     # one order is found in many trees
-    small = found.where("prefix is null").select(F.array_sort("members").alias("members")).distinct()
-    crowd = written(found.where("prefix is not null").select(F.xxhash64("prefix").alias("key"), F.explode("members").alias("node")), "crowds")
-    # leaders differ from tree to tree, lest an odd one lead everywhere
-    leaders = crowd.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    small = found.where("prefix is null").groupBy(F.array_sort("members").alias("members")).agg(F.min("rank").alias("rank"))
+    tree = F.conv(F.hex(F.substring("prefix", 1, 1)), 16, 10).cast("int")
+    crowd = found.where("prefix is not null").select(F.xxhash64("prefix").alias("key"), (tree % LEADERS).alias("turn"), F.explode("members").alias("node"))
+    crowd = written(crowd, "crowds")
+    # not one leader for all trees, lest an odd one lead everywhere
+    leaders = crowd.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "turn")).alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     stars = crowd.join(smaller(written(leaders, "leaders")), "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
     return small, stars, crowd
 
@@ -315,15 +329,17 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     small = written(small.withColumn("region", F.xxhash64("members")), "members")
 
     def candidates(roots: DataFrame | None) -> DataFrame:
-        members = small.select("region", F.explode("members").alias("node")).join(nodes.select("node", "signature"), "node")
+        asked = small.where("rank < 2") if roots is None else small
+        members = asked.select("region", "rank", F.explode("members").alias("node")).join(nodes.select("node", "signature"), "node")
         if roots is None:
-            members = members.withColumn("root", F.lit(0).cast("bigint"))
+            members = members.withColumn("root", F.col("node"))
         else:
             members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        grouped = members.groupBy("region").agg(F.collect_list(F.struct("node", "root", "signature")).alias("members")).select("members")
+        spanning = F.max(F.lit(roots is None) | (F.col("rank") > 0)).alias("spanning")
+        grouped = members.groupBy("region").agg(spanning, F.collect_list(F.struct("node", "root", "signature")).alias("members")).select("spanning", "members")
         if roots is not None:
             grouped = grouped.where(F.size(F.array_distinct(F.transform("members", lambda m: m["root"]))) > 1)
-        return grouped.mapInArrow(_forest_pairs(least_equal, roots is None), PAIRS)
+        return grouped.mapInArrow(_forest_pairs(least_equal), PAIRS)
 
     first = written(_ordered(candidates(None).unionByName(stars)), "pairs")
 
