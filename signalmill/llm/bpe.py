@@ -6,7 +6,10 @@ skipped.  Texts are cut at white space before a non-space, where no pre-token
 crosses, and ids per part are kept in a bounded memo.
 
 Defined results: a null text is encoded as an empty one, which has no ids and
-decodes to ''; any text round-trips, as every byte has a symbol.
+decodes to ''; any text round-trips, as every byte has a symbol, and is encoded whole,
+whatever its length; rows are encoded one by one, whatever ids repeat; extra columns
+come along, and names under the prefix are the result's; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -223,8 +226,8 @@ def decoder(spark: SparkSession, path: str):
     return decode
 
 
-def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """All columns of documents with token_ids and decoded."""
+def round_trip(documents: DataFrame, path: str, prefix: str = "__bpe_") -> DataFrame:
+    """All columns of documents and, under prefix: ids and decoded."""
     spark = documents.sparkSession
-    out = documents.withColumn("token_ids", encoder(spark, path)("text"))
-    return out.withColumn("decoded", decoder(spark, path)("token_ids"))
+    out = documents.withColumn(f"{prefix}ids", encoder(spark, path)("text"))
+    return out.withColumn(f"{prefix}decoded", decoder(spark, path)(f"{prefix}ids"))

@@ -17,8 +17,9 @@ division, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source, after all
 others; documents of size 0 take 0; rows with equal doc_id are documents of
-their own (equal rows share a place in the order, in any sequence); an empty
-table gives an empty result.
+their own (equal rows share a place in the order, in any sequence); a text counts
+whole, whatever its length; extra columns come along, and names that begin with
+__mix_ are the operator's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def quotas(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_repeats
     """Of (doc_id, source, size): the sources with target and seats, and the shards with quota.
 
     sources: k, source, source_size, target, seats. shards: __mix_k, __mix_shard,
-    ring (its words), quota (words to take), start (on the ring).
+    __mix_ring (its words), __mix_quota (words to take), __mix_start (on the ring).
     """
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_repeats)
     sources = sources.withColumn("blocks", F.floor(F.sum("source_size").over(W.partitionBy()) / block_words))
@@ -120,7 +121,7 @@ def quotas(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_repeats
     shards = apportion(shards.join(smaller(seats), "__mix_k"), ["__mix_k"], "ring", "seats", ["__mix_shard"], "blocks")
     most = F.floor(F.col("ring") * most_repeats / block_words)
     first = F.pmod(_seeded(F.lit("ring"), F.col("__mix_k"), F.col("__mix_shard")), F.greatest(F.ceil(F.col("ring") / block_words), F.lit(1)))
-    shards = shards.select("__mix_k", "__mix_shard", "ring", (F.least("blocks", most) * block_words).alias("quota"), (first * block_words).alias("start"))
+    shards = shards.select("__mix_k", "__mix_shard", F.col("ring").alias("__mix_ring"), (F.least("blocks", most) * block_words).alias("__mix_quota"), (first * block_words).alias("__mix_start"))
     return sources, written(shards, "mix-shards")
 
 
@@ -137,14 +138,14 @@ def taken(documents: DataFrame, sources: DataFrame, shards: DataFrame, size: Col
     side = sources.select(F.col("k").alias("__mix_k"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
     out = out.join(smaller(side), "__mix_k")
     a, b = F.col("__mix_a"), F.col("__mix_a") + F.col("__mix_size")
-    rounds = F.when(F.col("ring") > 0, F.floor(F.col("quota") / F.col("ring"))).otherwise(F.lit(0))
-    end = F.col("start") + F.col("quota") - rounds * F.col("ring")  # of the last, partial round; beyond the ring it goes on at 0
+    rounds = F.when(F.col("__mix_ring") > 0, F.floor(F.col("__mix_quota") / F.col("__mix_ring"))).otherwise(F.lit(0))
+    end = F.col("__mix_start") + F.col("__mix_quota") - rounds * F.col("__mix_ring")  # of the last, partial round; beyond the ring it goes on at 0
     none = F.lit(0).cast("bigint")
-    part = F.greatest(F.least(b, end) - F.greatest(a, F.col("start")), none) + F.greatest(F.least(b, end - F.col("ring")) - a, none)
-    inside = ((a >= F.col("start")) & (a < end)) | (a < end - F.col("ring"))
+    part = F.greatest(F.least(b, end) - F.greatest(a, F.col("__mix_start")), none) + F.greatest(F.least(b, end - F.col("__mix_ring")) - a, none)
+    inside = ((a >= F.col("__mix_start")) & (a < end)) | (a < end - F.col("__mix_ring"))
     out = out.withColumn("__mix_taken", (rounds * F.col("__mix_size") + part).cast("bigint"))
     out = out.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, rounds + inside.cast("bigint")).otherwise(none))
-    return out.drop("__mix_k", "__mix_shard", "__mix_order", "__mix_a", "ring", "quota", "start")
+    return out.drop("__mix_k", "__mix_shard", "__mix_order", "__mix_a", "__mix_ring", "__mix_quota", "__mix_start")
 
 
 #: The result of op3 in DuckDB SQL, with the parameters above.

@@ -68,14 +68,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secret_scan.BlobLedger(spark, fresh_path(spark, "secret-ledger"))
     ledger.scan(documents)
-    out = ledger.join(documents).withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE)))
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    out = ledger.join(documents).withColumn("base", F.filter("__secret_spans", lambda s: s["kind"].isin(*secret_scan.BASE)))
+    count = lambda kind: F.size(F.filter("__secret_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return out.select(
         "doc_id",
         *map(count, secret_scan.BASE),
         F.sha2(secret_scan.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        secret_scan.span_list(F.col("spans")).alias("spans"),
-        "blob_id",
+        secret_scan.span_list(F.col("__secret_spans")).alias("spans"),
+        F.col("__secret_blob").alias("blob_id"),
     )
 
 
@@ -97,9 +97,9 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(documents, public_tokenizers.path("byte_bpe_50k.json"))
     return out.select(
         "doc_id",
-        F.size("token_ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.size("__bpe_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("__bpe_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("__bpe_decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

@@ -7,7 +7,9 @@ carry it, and findings are joined back to all of them.
 
 Defined results: a null text is the empty blob, without findings; equal rows
 each get their findings; several texts under one doc_id are versions, each with
-its own; extra columns are ignored.
+its own; a text is scanned whole, whatever its length; extra columns come along, and
+names that begin with __secret_ are the operator's; an empty table gives an empty
+result and leaves an empty ledger.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hashing import text_batches
+from .storage import smaller
+
 
 #: Kinds in the order that spans at one start take; the first three are the base.
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "forge_token", "cloud_key", "url_login")
@@ -65,7 +70,7 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 @F.arrow_udf(T.ArrayType(SPAN))
 def scan_text(text: pa.Array) -> pa.Array:
     return pa.array(
-        [[{"kind": k, "start": a, "end": b} for k, a, b in find(x or "")] for x in text.to_pylist()],
+        [[{"kind": k, "start": a, "end": b} for k, a, b in find(x.decode())] for _, part in text_batches(text) for x in part],
         pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])),
     )
 
@@ -106,13 +111,14 @@ class BlobLedger:
             first = first.join(known.select("blob_id"), "blob_id", "left_anti")
         keyed = rows.alias("r").join(first.alias("f"), (F.col("r.blob_id") == F.col("f.blob_id")) & F.col("r.key").eqNullSafe(F.col("f.key")), "left_semi")
         found = keyed.select("blob_id", F.lit(self.rule_version).alias("rule_version"), scan_text("text").alias("spans"))
-        found.write.mode("append").parquet(self.path)
-
-    def join(self, versions: DataFrame, text: str = "text") -> DataFrame:
-        """Every row of versions with the spans of its blob."""
-        rows = versions.withColumn("__blob", blob_id(F.col(text)))
-        found = self.findings().select(F.col("blob_id").alias("__blob"), F.col("spans"))
-        return rows.join(found, "__blob", "left").withColumnRenamed("__blob", "blob_id")
+        found.write.mode("append").partitionBy("rule_version").parquet(self.path)
+
+    def join(self, versions: DataFrame, text: str = "text", prefix: str = "__secret_") -> DataFrame:
+        """Every row of versions with, under prefix, the blob and spans of its text; blobs without findings stay out of the join."""
+        blob, spans = f"{prefix}blob", f"{prefix}spans"
+        found = self.findings().where(F.size("spans") > 0).select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
+        out = versions.withColumn(blob, blob_id(F.col(text))).join(smaller(found), blob, "left")
+        return out.withColumn(spans, F.coalesce(spans, F.array().cast(found.schema[spans].dataType)))
 
 
 def span_list(spans: Column) -> Column:
