@@ -1,8 +1,10 @@
 """From raw documents to token ids: five stages, each written as Parquet for the next.
 
-A null text is rejected by the quality rules.  Rows that share a doc_id but not the
-text are documents of their own.  Extra columns come along through all stages but
-the last.
+A null or empty text is rejected by the quality rules.  Rows that share a doc_id but
+not the text are documents of their own; of rows with equal id and text near-dedup
+keeps one.  Of near copies the smallest id stays, whatever the order of rows.  A text of
+any length goes through whole.  Extra columns, whatever their names, come along through
+all stages but the last.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids, and whether they decode to the text."""
     small_batches(spark)
     out = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("doc_id", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trips"))
+    return out.select("doc_id", "source", F.size("__bpe_ids").cast("bigint").alias("n_tokens"), F.col("__bpe_ids").alias("token_ids"), (F.col("__bpe_decoded") == F.coalesce("text", F.lit(""))).alias("round_trips"))
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("source_mix", mix), ("bpe", encode)]
