@@ -29,6 +29,9 @@ from .hashing import batches, hasher, text_batches
 from .parts import PartMemo, split_stops
 from .storage import worker_state
 
+#: Text parts that a worker remembers.
+MEMO = 800_000
+
 #: The pre-token pattern of byte-level BPE, with white space as Unicode has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -72,7 +75,7 @@ class BytePairCodec:
         self.pretokens = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.marks = [t.encode() for t in self.added]
-        self.memo = PartMemo(np.dtype(np.int32), self._learn)
+        self.memo = PartMemo(np.dtype(np.int32), self._learn, MEMO)
 
     def merge(self, data: bytes) -> list[int]:
         """Symbols of one pre-token."""

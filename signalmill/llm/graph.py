@@ -41,7 +41,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", spread=True)  # the links may still have to be found
     for _ in range(most_rounds):
         if _is_stars(edges):
             break

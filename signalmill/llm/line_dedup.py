@@ -127,6 +127,12 @@ RUNS = T.StructType(
 CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed_lines", T.LongType()), T.StructField("n_removed_words", T.LongType())])
 
 
+def once(function):
+    """Lest the optimiser copy the function into a filter on its result, and compute it twice."""
+    return function.asNondeterministic()
+
+
+@once
 @F.arrow_udf(CHUNK)
 def chunks_of(texts: pa.Array) -> pa.Array:
     """The distinct chunks of each text that may go by themselves."""
@@ -142,6 +148,7 @@ def chunks_of(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
+@once
 @F.arrow_udf(RUNS)
 def runs_of(texts: pa.Array) -> pa.Array:
     """Where those chunks are, by numbers of lines with a word, and the windows, each with the chunk that holds it whole."""
@@ -183,6 +190,7 @@ def cleaned_text(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int,
     return b"\n".join([x for x, g in zip(lines, gone, strict=True) if not g]), len(words), sum(words)
 
 
+@once
 @F.arrow_udf(CLEANED)
 def clean(texts: pa.Array, runs: pa.Array) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum(runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]) if len(runs) else [0]
@@ -211,7 +219,7 @@ def _meet(rows: DataFrame, shared: DataFrame, keys: list[str], how: str) -> Data
 def copied_runs(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, runs array<struct<first, last>>) of documents that lose lines; lines with a word are counted from 0."""
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    posts = rows.select("doc_id", F.explode(chunks_of("text")).alias("c")).select("doc_id", "c.hash", "c.chunk")
+    posts = rows.select("doc_id", chunks_of("text").alias("c")).select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.hash", "c.chunk")
     # the bytes are part of the key: chunks are equal only if these are; copies are combined before the shuffle
     equal = posts.groupBy("hash", "chunk").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("until"), F.count(F.lit(1)).alias("n"))
     alone = equal.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("home").alias("home"), F.max("until").alias("until"), F.sum("n").alias("n"))

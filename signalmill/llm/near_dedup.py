@@ -271,7 +271,7 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     key = F.call_function("substring", F.concat("signature", "signature"), at, F.lit(4 * MOST_DEPTH))
     trees = nodes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("tree", key.alias("key"), "node")
     forest = trees.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = written(forest.mapInArrow(_walk, "prefix binary, members array<bigint>, rank int"), "regions")
+    found = written(forest.mapInArrow(_walk, "prefix binary, members array<bigint>, rank int"), "regions", spread=True)
     # one order is found in many trees
     small = found.where("prefix is null").groupBy(F.array_sort("members").alias("members")).agg(F.min("rank").alias("rank"))
     tree = F.conv(F.hex(F.substring("prefix", 1, 1)), 16, 10).cast("int")
@@ -341,7 +341,7 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
             grouped = grouped.where(F.size(F.array_distinct(F.transform("members", lambda m: m["root"]))) > 1)
         return grouped.mapInArrow(_forest_pairs(least_equal), PAIRS)
 
-    first = written(_ordered(candidates(None).unionByName(stars)), "pairs")
+    first = written(_ordered(candidates(None).unionByName(stars)), "pairs", spread=True)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         homes = wanted.join(nodes.select("node", "check", "least"), "node")
@@ -353,12 +353,12 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         both = _with_sets(_with_sets(pairs, sets, "u", "v", "a"), sets, "v", "u", "b")
-        links = written(both.where(_linked(percent)("a", "b")).select("u", "v"), "links")
+        links = written(both.where(_linked(percent)("a", "b")).select("u", "v"), "links", spread=True)
         dropped(spark, sets)
         return links
 
     roots = components(confirmed(first))
-    second = written(_ordered(candidates(roots)).join(first, ["u", "v"], "left_anti"), "pairs")
+    second = written(_ordered(candidates(roots)).join(first, ["u", "v"], "left_anti"), "pairs", spread=True)
     known = lambda: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))  # noqa: E731  as good as all links so far
     if not second.isEmpty():
         roots = components(known().unionByName(confirmed(second)))

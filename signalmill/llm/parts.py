@@ -8,7 +8,7 @@ import numpy as np
 
 from .hashing import BATCH_BYTES, hasher
 
-#: Parts, and bytes of them, that a worker remembers; beyond that it starts afresh.
+#: Parts, and bytes of them, that a worker remembers unless told otherwise; beyond that it starts afresh.
 MEMO, MEMO_BYTES = 1_000_000, 1 << 26
 STOP, PLAIN = np.zeros(256, bool), np.zeros(256, bool)
 STOP[list(rb"""!"#$%&()*+,-./:;=?@[\]^_`{}~""")] = True  # without apostrophes, and what marks added tokens
@@ -36,8 +36,8 @@ class PartMemo:
     Hashes are kept sorted in plain arrays, at some 40 bytes a part with its own.
     """
 
-    def __init__(self, kind: np.dtype, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.kind, self.learn = kind, learn
+    def __init__(self, kind: np.dtype, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = MEMO):
+        self.kind, self.learn, self.most = kind, learn, most
         self._forget()
 
     def _forget(self) -> None:
@@ -87,7 +87,7 @@ class PartMemo:
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of data[start:end], in a row, and where those of each span end."""
         distinct, first, back = np.unique(hasher().spans(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > MEMO or self.written > MEMO_BYTES:
+        if len(self.keys) > self.most or self.written > MEMO_BYTES:
             self._forget()
         at = np.searchsorted(self.keys, distinct)
         known = at < len(self.keys)

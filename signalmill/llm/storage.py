@@ -30,11 +30,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/signalmill/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back."""
+@contextlib.contextmanager
+def _conf(spark: SparkSession, key: str, value: str):
+    """A setting of the session, for as long as this lasts."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, *, spread: bool = False) -> DataFrame:
+    """Cut the lineage: write a table to the shared folder and read it back.
+
+    After a shuffle, partitions are merged up to Spark's advisory size, so that small
+    tables are few files; with spread they stay as many as there are tasks to run at
+    once, for tables that cost more to compute than their size tells.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with contextlib.nullcontext() if spread else _conf(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -182,7 +182,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABE
         return pa.array([list(features_of(t.decode())) for _, part in text_batches(texts) for t in part], pa.list_(pa.string()))
 
     p, u = F.col("p"), F.col("u")
-    counts = sample.select(F.explode(names_of("text")).alias("name"), *flags).groupBy("name").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u")).where(p >= LEAST_TEXTS)
+    counts = sample.select(names_of.asNondeterministic()("text").alias("names"), *flags).select(F.explode("names").alias("name"), *flags).groupBy("name").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u")).where(p >= LEAST_TEXTS)
     likely = counts.withColumn("z", _z(p, sizes.positive, u, sizes.unlabelled)).orderBy(F.abs("z").desc(), "name").limit(CANDIDATES * max_features)
     likely = {r.name: r.p for r in likely.collect()}
     every = documents.select("h", Features(list(likely)).column("text").alias("f")).groupBy("h").agg(F.min("f").alias("f"))
