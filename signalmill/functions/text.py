@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,3 +98,14 @@ def version_parts(version: Column) -> Column:
 
 def auth_message(prefix: str, seconds: Column) -> Column:
     return F.concat(F.lit(f"{prefix}:"), seconds.cast("long").cast("string"))
+
+
+def previous(message: Column, conversation: str, order: str, n: int = 2) -> Column:
+    """The n messages before a row of its conversation, oldest first."""
+    return F.collect_list(message).over(W.partitionBy(conversation).orderBy(order).rowsBetween(-n, -1))
+
+
+def with_parent(messages: DataFrame, key: str = "id", parent: str = "reply_to", fields: tuple[str, ...] = ("user", "content")) -> DataFrame:
+    """messages with `parent_message`, a struct of fields of the message that each replies to; null where there is none."""
+    parents = messages.select(F.col(key).alias("__key"), F.struct(*fields).alias("parent_message"))
+    return messages.join(parents, F.col(parent) == F.col("__key"), "left").drop("__key")

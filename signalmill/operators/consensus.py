@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ledger import EPOCH_BLOCKS
 
@@ -28,25 +32,27 @@ def sequenced(broadcasts: DataFrame) -> DataFrame:
 def sequenced_with_reset(broadcasts: DataFrame) -> DataFrame:
     """As sequenced(), but a number below a tenth of the last starts the sender afresh.
 
-    The last number is then no running maximum, so each sender's arrivals are folded in
-    order; numbers alone are gathered, a sender's as many as it has sent.
+    The last number is then no running maximum, so a walk along each sender's arrivals
+    in order keeps it; the walk holds one batch of rows at a time.
     """
-    rows = F.array_sort(F.collect_list(F.struct("arrival", "seq", (F.size(positive("uid_values")) > 0).alias("full"))))
-    folded = F.aggregate(
-        F.col("rows"),
-        F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<arrival:bigint,reason:string>>").alias("out")),
-        lambda acc, r: F.struct(
-            F.when((r["seq"] > acc["last"]) | _resets(r["seq"], acc["last"]), r["seq"]).otherwise(acc["last"]).alias("last"),
-            F.concat(acc["out"], F.array(F.struct(r["arrival"].alias("arrival"), F.when((r["seq"] <= acc["last"]) & ~_resets(r["seq"], acc["last"]), "duplicate_or_old_seq").when(~r["full"], "empty_payload").otherwise("accepted").alias("reason")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    reasons = broadcasts.groupBy("sender").agg(rows.alias("rows")).select("sender", F.explode(folded).alias("r")).select("sender", "r.arrival", "r.reason")
-    return broadcasts.withColumn("uid_values", positive("uid_values")).join(reasons, ["sender", "arrival"]).withColumn("accepted", F.col("reason") == "accepted")
-
-
-def _resets(seq, last):
-    return (last > 0) & (seq < F.floor(last / 10))
+    out = broadcasts.withColumn("uid_values", positive("uid_values"))
+    ordered = out.withColumn("__full", F.size("uid_values") > 0).repartition("sender").sortWithinPartitions("sender", "arrival")
+    columns = T.StructType([*out.schema.fields, T.StructField("reason", T.StringType())])
+    return ordered.mapInArrow(_walked, columns).withColumn("accepted", F.col("reason") == "accepted")
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    current, last = None, -1
+    for batch in batches:
+        reasons = []
+        for sender, seq, full in zip(*(batch.column(c).to_pylist() for c in ("sender", "seq", "__full")), strict=True):
+            if sender != current:
+                current, last = sender, -1
+            old = seq is not None and seq <= last and not (last > 0 and seq < last // 10)
+            if seq is not None and not old:
+                last = seq
+            reasons.append("duplicate_or_old_seq" if old else "accepted" if full else "empty_payload")
+        yield batch.drop_columns(["__full"]).append_column("reason", pa.array(reasons, pa.string()))
 
 
 def positive(column: str):

@@ -54,11 +54,11 @@ def cooldowns(events: DataFrame) -> DataFrame:
     A success clears everything; of a run of failures each from the tenth on raises the
     level by one.  Hotkeys whose last event is a success aren't listed.
     """
-    mine = W.partitionBy("hotkey").orderBy("at", "event_id")
-    run = F.sum(F.col("ok").cast("long")).over(mine)
-    runs = events.withColumn("__run", run).where(~F.col("ok"))
-    latest = events.groupBy("hotkey").agg(F.sum(F.col("ok").cast("long")).alias("__run"))
-    ended = runs.join(latest, ["hotkey", "__run"]).groupBy("hotkey").agg(F.count(F.lit(1)).alias("failures"), F.max("at").alias("last_failure"))
+    # two sums that are combined before the shuffle, so no worker's history meets in one task
+    place = F.struct("at", "event_id")
+    success = events.where("ok").groupBy("hotkey").agg(F.max(place).alias("__success"))
+    since = events.where(~F.col("ok")).join(success, "hotkey", "left").where(F.col("__success").isNull() | (place > F.col("__success")))
+    ended = since.groupBy("hotkey").agg(F.count(F.lit(1)).alias("failures"), F.max("at").alias("last_failure"))
     level = F.least(F.greatest(F.col("failures") - (FAILURES - 1), F.lit(0)), F.lit(len(BACKOFF)))
     pause = F.element_at(F.array(*map(F.lit, BACKOFF)), F.greatest(level, F.lit(1)).cast("int"))
     out = ended.withColumn("level", level.cast("int")).withColumn("until", F.when(level > 0, F.timestamp_seconds(F.unix_micros("last_failure") / 1e6 + pause)))

@@ -46,15 +46,15 @@ POSTS_SQL = f"""
 
 
 def participants(spark: SparkSession, folder: str) -> DataFrame:
-    """All customers as participants; PARTICIPANTS_SQL still has the first PARTICIPANTS only, which are all of the smallest tables."""
+    """All customers as participants."""
     c = table(spark, folder, "customer")
     uid = (F.col("c_custkey") - 1).cast("int")
     return c.select(uid.alias("uid"), F.concat(F.lit("hk"), uid.cast("string")).alias("hotkey"), F.col("c_acctbal").alias("stake"), (F.col("c_nationkey") % 2 == 0).alias("validator_permit"), (F.col("c_nationkey") % 3 != 0).alias("is_serving"))
 
 
-PARTICIPANTS_SQL = f"""
+PARTICIPANTS_SQL = """
   SELECT CAST(c_custkey - 1 AS INTEGER) AS uid, 'hk' || CAST(c_custkey - 1 AS VARCHAR) AS hotkey, c_acctbal AS stake, c_nationkey % 2 = 0 AS validator_permit, c_nationkey % 3 <> 0 AS is_serving
-  FROM customer WHERE c_custkey <= {PARTICIPANTS}"""
+  FROM customer"""
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, matching, scoring, text
 from ..functions.scoring import Economy
-from ..operators import consensus, dispatch, ledger, lifecycle, validation, votes, weights
+from ..operators import annotate, consensus, dispatch, ledger, lifecycle, validation, votes, weights
 from ..sources import readers
 from ..session import SETTINGS
 from ..sources.registries import NO_ASSET, OTHER_SECTOR, SECTORS, SOURCE_CREDIBILITY, Entry
@@ -178,9 +178,8 @@ def q_tokens(spark, sf):
     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   SELECT conv_id, turn, md5(concat_ws(chr(10), r1 || ': ' || x1, r2 || ': ' || x2, role || ': ' || text)) AS lines_md5 FROM c""")
 def q_chat_context(spark, sf):
-    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, -1)
     message = F.struct(F.col("role").alias("user"), F.col("text").alias("content"))
-    c = I.table(spark, sf, "conversations").select("conv_id", "turn", F.collect_list(message).over(before).alias("context"), message.alias("own"))
+    c = I.table(spark, sf, "conversations").select("conv_id", "turn", text.previous(message, "conv_id", "turn").alias("context"), message.alias("own"))
     return c.select("conv_id", "turn", F.md5(text.conversation_lines(text.with_context(F.col("context"), F.col("own")))).alias("lines_md5"))
 
 
@@ -188,9 +187,10 @@ def q_chat_context(spark, sf):
 SELECT CAST(floor(k / 1000) AS BIGINT) AS conv_id, array_to_string(list(k % 1000 ORDER BY k) FILTER (WHERE confidence <> 'low'), ',') AS turns
 FROM matched GROUP BY 1 HAVING count(*) FILTER (WHERE confidence <> 'low') > 0""")
 def q_contributing(spark, sf):
-    c = I.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("id"), F.col("text").alias("content")))).alias("messages"))
-    out = c.select("conv_id", matching.contributing(F.col("messages"), I.FIXTURE, I.FIXTURE[-1]).alias("ids")).where(F.size("ids") > 0)
-    return out.select("conv_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("turns"))
+    # message by message, so that only numbers of turns are gathered
+    message = F.array(F.struct(F.col("turn").alias("id"), F.col("text").alias("content")))
+    m = I.table(spark, sf, "conversations").select("conv_id", F.explode(matching.contributing(message, I.FIXTURE, I.FIXTURE[-1])).alias("turn"))
+    return m.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list("turn")).cast("array<string>"), ",").alias("turns"))
 
 
 @query("""SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id % 6 ELSE 0 END AS BIGINT) AS id,
@@ -255,7 +255,13 @@ def q_broadcast_dedup(spark, sf):
     return consensus.sequenced(I.broadcasts(spark, sf)).select("sender", "arrival", "seq", "reason")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({I.EVENTS_SQL}), n AS (SELECT sender, arrival, seq, value > 0 AS filled, row_number() OVER (PARTITION BY sender ORDER BY arrival) AS r FROM ({I.BROADCASTS_SQL})),
+f AS (
+  SELECT sender, r, arrival, seq, filled, CAST(-1 AS BIGINT) AS last FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.sender, n.r, n.arrival, n.seq, n.filled, CASE WHEN f.seq > f.last OR (f.last > 0 AND f.seq < floor(f.last / 10)) THEN f.seq ELSE f.last END FROM f JOIN n ON n.sender = f.sender AND n.r = f.r + 1
+)
+SELECT sender, arrival, seq, CASE WHEN seq <= last AND NOT (last > 0 AND seq < floor(last / 10)) THEN 'duplicate_or_old_seq' WHEN NOT filled THEN 'empty_payload' ELSE 'accepted' END AS reason FROM f""")
 def q_broadcast_reset(spark, sf):
     return consensus.sequenced_with_reset(I.broadcasts(spark, sf)).select("sender", "arrival", "seq", "reason")
 
@@ -268,9 +274,8 @@ def q_broadcast_agg(spark, sf):
 @query(f"{B} SELECT epoch, sender, uid, value FROM snap WHERE epoch > (SELECT min(epoch) FROM snap) AND sender <> 'v3'")
 def q_flush(spark, sf):
     s = _snapshots(spark, sf)
-    first = s.agg(F.min("epoch").alias("m"))
-    left = s.join(F.broadcast(first), s["epoch"] > first["m"]).drop("m")
-    return consensus.without_sender(left, "v3").select("epoch", "sender", "uid", "value")
+    first = s.agg(F.min("epoch")).first()[0]
+    return consensus.without_sender(consensus.flushed(s, first if first is not None else -1), "v3").select("epoch", "sender", "uid", "value")
 
 
 # days instead of epochs, so that several validators meet in one
@@ -382,13 +387,13 @@ def q_weights_u16(spark, sf):
     return weights.emitted(_stakes(spark, sf))
 
 
-@query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT uid, round(stake / (SELECT sum(abs(stake)) FROM part), 6) AS raw FROM part")
+@query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT uid, round(stake / (SELECT sum(abs(stake)) FROM part), 6) + 0.0 AS raw FROM part")
 def q_l1_norm(spark, sf):
     out = weights.l1_normalised(weights.updated_scores(I.participants(spark, sf).select("uid", F.col("stake").alias("score"))))
     return out.select("uid", r6("raw").alias("raw"))
 
 
-@query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT uid, CASE WHEN uid % 9 = 0 OR uid >= 140 THEN 0.0 ELSE round(stake, 6) END AS score FROM part")
+@query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT uid, CASE WHEN uid % 9 = 0 OR uid >= (SELECT greatest(count(*), max(uid) + 1) FROM part) - 10 THEN 0.0 ELSE round(stake, 6) END AS score FROM part")
 def q_resync(spark, sf):
     now = I.participants(spark, sf)
     # the last ten of the registry are new
@@ -397,7 +402,7 @@ def q_resync(spark, sf):
     return weights.resynced(now.select("uid", F.col("stake").alias("score")), before, now).select("uid", r6("score").alias("score"))
 
 
-@query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT CAST(k AS INTEGER) AS uid, coalesce(round(stake, 6), 0.0) AS weight FROM range(0, 160) t(k) LEFT JOIN part ON part.uid = t.k")
+@query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT CAST(k AS INTEGER) AS uid, coalesce(round(stake, 6), 0.0) AS weight FROM (SELECT unnest(generate_series(0, (SELECT greatest(count(*), max(uid) + 1) FROM part) + 9)) AS k) t LEFT JOIN part ON part.uid = t.k")
 def q_dense_weights(spark, sf):
     p = I.participants(spark, sf).select("uid", F.col("stake").alias("weight"))
     # ten free slots behind the registry
@@ -634,13 +639,40 @@ def q_blacklist(spark, sf):
     return readers.removed(readers.upserted(old, rows.where("s_suppkey % 4 = 0").select("hotkey", F.lit("new").alias("note"))), rows.where("s_suppkey % 7 = 0"))
 
 
-@query()
+def _rules_sql(rules: dict[str, str], default: str) -> str:
+    """The first label of whose words the list w holds any."""
+    tests = " ".join(f"WHEN list_has_any(w, [{', '.join(map(repr, words.split()))}]) THEN '{label}'" for label, words in rules.items())
+    return f"CASE {tests} ELSE '{default}' END"
+
+
+def _labels_sql(source: str) -> str:
+    """source (k, text) with t, w and the label of each dimension."""
+    specifics = " + ".join(f"CAST(regexp_matches(t, '{p}') AS INTEGER)" for p in classify.SPECIFICS)
+    technical = f"list_has_any(w, [{', '.join(map(repr, classify.TECHNICAL_WORDS.split()))}])"
+    quality = f"CASE {specifics} WHEN 0 THEN CASE WHEN {technical} THEN 'low' ELSE 'none' END WHEN 1 THEN 'medium' ELSE 'high' END"
+    rules = {d: _rules_sql(classify.RULES[d], classify.DEFAULTS[d]) for d in ("content_type", "sentiment", "market_analysis", "impact_potential")} | {"technical_quality": quality}
+    columns = ", ".join(f"{sql} AS {d}" for d, sql in rules.items())
+    return f"SELECT k, {columns} FROM (SELECT *, list_distinct(string_split_regex(t, '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM (SELECT k, lower(coalesce(text, '')) AS t FROM {source}))"
+
+
+CLASSIFIED = _match_sql(I.FIXTURE, I.FIXTURE[-1]) + f", labels AS ({_labels_sql('(SELECT doc_id AS k, text FROM documents)')})"
+
+
+@query(f"{CLASSIFIED} SELECT m.doc_id, CASE WHEN length(d.text) > 0 THEN m.id END AS id, CASE WHEN length(d.text) > 0 THEN m.confidence END AS confidence, " + ", ".join(f"CASE WHEN length(d.text) > 0 THEN l.{x} END AS {x}" for x in classify.DIMENSIONS) + " FROM matched m JOIN labels l ON l.k = m.doc_id JOIN documents d ON d.doc_id = m.doc_id")
 def q_classify_rules(spark, sf):
     d = I.table(spark, sf, "documents")
     c = classify.classify_post(F.col("text"), I.FIXTURE, I.FIXTURE[-1])
     return d.select("doc_id", c.alias("c")).select("doc_id", "c.id", "c.confidence", *[f"c.{x}" for x in classify.DIMENSIONS])
 
 
+@query(f"{CLASSIFIED} SELECT m.doc_id, l.sentiment, m.id AS asset_id, m.symbol AS asset_symbol, l.content_type, l.technical_quality, l.market_analysis, l.impact_potential FROM matched m JOIN labels l ON l.k = m.doc_id JOIN documents d ON d.doc_id = m.doc_id WHERE length(d.text) > 0")
+def q_annotate_batch(spark, sf):
+    """What a worker sends back for a batch of posts."""
+    d = I.table(spark, sf, "documents")
+    out = annotate.annotated(d.select("doc_id", classify.classify_post(F.col("text"), I.FIXTURE, I.FIXTURE[-1]).alias("c")), "c", "post")
+    return out.select("doc_id", "analysis.*")
+
+
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = I.table(spark, sf, "events").schema
     key = "spark.sql.streaming.stateStore.providerClass"  # keyed state needs this store

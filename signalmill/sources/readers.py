@@ -72,8 +72,8 @@ def price(quotes: DataFrame) -> DataFrame:
 
 
 def with_price(df: DataFrame, quotes: DataFrame) -> DataFrame:
-    """df with the latest price in every row; the quote is one row."""
-    return df.crossJoin(F.broadcast(price(quotes).select(F.col("price").alias("token_usd"))))
+    """df with the latest price in every row; null where there is no quote."""
+    return df.withColumn("token_usd", quotes.agg(F.max_by("price", "last_updated")).scalar())
 
 
 def stored_value(values: DataFrame, module: str, name: str) -> Column:
