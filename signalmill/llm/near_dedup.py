@@ -283,14 +283,18 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return small, stars, crowd
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str) -> DataFrame:
-    """pairs with the set of the node on one side; nodes of many pairs, leaders mostly, stand under as many keys as it takes."""
-    salts = pairs.groupBy(side).count().where(F.col("count") > HOT).select(F.col(side).alias("hot"), F.ceil(F.col("count") / HOT).alias("salts"))
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with the sets of both nodes, a and b; nodes of many pairs, leaders mostly, stand under as many keys as it takes."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("hot"))
+    salts = ends.groupBy("hot").count().where(F.col("count") > HOT).select("hot", F.ceil(F.col("count") / HOT).alias("salts"))
     salts = smaller(written(salts, "hot-nodes"))
     zero = F.lit(0).cast("bigint")
-    spread = pairs.join(salts, pairs[side] == salts["hot"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), zero)).drop("hot", "salts")
     every = sets.join(salts, sets["node"] == salts["hot"], "left").withColumn("salt", F.explode(F.sequence(zero, F.coalesce(F.col("salts"), F.lit(1).cast("bigint")) - 1)))
-    return spread.join(every.select(F.col("node").alias(side), F.col("set").alias(name), "salt"), [side, "salt"]).drop("salt")
+    out = pairs
+    for side, other, name in (("u", "v", "a"), ("v", "u", "b")):
+        spread = out.join(salts, out[side] == salts["hot"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), zero)).drop("hot", "salts")
+        out = spread.join(every.select(F.col("node").alias(side), F.col("set").alias(name), "salt"), [side, "salt"]).drop("salt")
+    return out
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -352,7 +356,7 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        both = _with_sets(_with_sets(pairs, sets, "u", "v", "a"), sets, "v", "u", "b")
+        both = _with_sets(pairs, sets)
         links = written(both.where(_linked(percent)("a", "b")).select("u", "v"), "links", spread=True)
         dropped(spark, sets)
         return links
