@@ -2,11 +2,56 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import dropped, written
 
+#: Edges that a task contracts at once, and that it gets at least where there are more.
+PIECE = 1 << 17
+
+
+def _forest(own: bool):
+    """For mapInArrow over (u, v): an edge from each node to the least one that the piece's edges reach; with own, also that one's to itself."""
+
+    def work(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while tops.setdefault(x, x) != x:
+                tops[x] = x = tops[tops[x]]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            ends = [(x, r) for x in list(tops) if (r := top(x)) != x or own]
+            tops.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], pa.int64()), pa.array([r for _, r in ends], pa.int64())], names=["u", "v"])
+
+        for chunk in chunks:
+            for u, v in zip(chunk.column("u").to_pylist(), chunk.column("v").to_pylist(), strict=True):
+                x, y = top(u), top(v)
+                if x != y:
+                    tops[max(x, y)] = min(x, y)
+            if len(tops) > 2 * PIECE:
+                yield stars()
+        yield stars()
+
+    return work
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The edges of a written table as stars of each task's piece, and whether there is but one piece.
+
+    The number of tasks follows the number of edges, which is counted.  The stars of one
+    piece hold its roots' edges to themselves, too.
+    """
+    tasks = max(1, math.ceil(edges.count() / PIECE))
+    return edges.coalesce(tasks).mapInArrow(_forest(tasks == 1), "u bigint, v bigint"), tasks == 1
+
 
 def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     """One step of the star method: link neighbours to the least among a node and its neighbours.
@@ -36,13 +81,18 @@ def _is_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root) of every node with an edge of (u, v); the root is the least node reachable.
 
-    Large and small stars alternate until only stars are left, which takes a logarithmic
-    number of rounds; each round is written to the shared folder.
+    Tasks contract their pieces of the edges to stars; then large and small stars alternate
+    until only stars are left, which takes a logarithmic number of rounds.  Each round is
+    contracted again and written to the shared folder.  One piece needs no round.
     """
-    u, v = F.col("u"), F.col("v")
-    edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
-    edges = written(edges, "edges", spread=True)  # the links may still have to be found
+    edges = written(edges.where("u <> v").select("u", "v"), "links", spread=True)  # the links may still have to be found
     for _ in range(most_rounds):
+        stars, whole = _contracted(edges)
+        now = written(stars if whole else stars.distinct(), "edges")
+        dropped(edges.sparkSession, edges)
+        edges = now
+        if whole:
+            return edges.toDF("node", "root")
         if _is_stars(edges):
             break
         now = written(_toward_least(_toward_least(edges, True), False).distinct(), "edges")

@@ -280,3 +280,17 @@ def test_hot_runs_are_spread(spark, monkeypatch):
     rows = [(i, "\n".join([line(4)] + runs[i % 3][: 2 + i % 4] + [line(5)])) for i in range(60)] + [(i, "\n".join(runs[0])) for i in range(60, 80)]
     out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     same([(r.doc_id, r["__lines_text"], r["__lines_n_removed_lines"], r["__lines_n_removed_words"]) for r in out], brute_clean(rows))
+
+
+def test_components_over_many_pieces(spark, monkeypatch):
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(300) - 150, rnd.randrange(300) - 150) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)]
+    rnd.shuffle(edges)
+    found = {}
+    for piece in (1 << 17, 20):
+        monkeypatch.setattr(graph, "PIECE", piece)
+        rows = [(r.node, r.root) for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()]
+        assert len(rows) == len(set(rows))
+        found[piece] = dict(rows)
+    assert found[20] == found[1 << 17] and len({found[20][i] for i in range(1000, 1061)}) == 1
+    assert all(found[20][u] == found[20][v] for u, v in edges if u != v)
