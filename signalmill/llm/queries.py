@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, mixing, near_dedup, permutation_index, quality_rules, secret_scan, toxicity, wavelet
+from . import bpe, fill_in_middle, license_scan, line_dedup, mixing, near_dedup, permutation_index, quality_rules, resampling, secret_scan, toxicity, warc, wavelet
 from .storage import fresh_path, small_batches, written
 
 
@@ -103,8 +103,25 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fill_in_middle.restored(fill_in_middle.transformed(documents))
+    return out.select("doc_id", *[F.col(f"__fim_{c}").alias(c) for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")])
+
+
+def op12_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    named = (op1_quality_rules, op2_permutation_index, op3_source_mix, op4_license_scan, op5_lsh_forest, op6_line_chunks, op7_secret_scan, op8_toxicity, op9_wavelet_store, op10_bpe_round_trip)
+    named = (
+        op1_quality_rules, op2_permutation_index, op3_source_mix, op4_license_scan, op5_lsh_forest, op6_line_chunks, op7_secret_scan, op8_toxicity, op9_wavelet_store, op10_bpe_round_trip,
+        op11_fill_in_middle, op12_warc_chain, op13_importance_draw,
+    )
     return {f.__name__: f for f in named}
 
 
