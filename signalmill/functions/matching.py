@@ -1,10 +1,15 @@
-"""Which asset or sector a text is about: a registry as one expression."""
+"""Which assets or sectors a text is about.
+
+A registry of a few hundred entries is one expression (:func:`match`); one of any size is a
+table of postings (:func:`all_matches`).  Either way a text's words are taken once: an identifier is looked
+at only in texts that hold its longest word, so no pattern is tried for each entry.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.registries import Entry
@@ -31,18 +36,42 @@ def once(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def anchor(key: str) -> str:
+    """The longest word of an identifier; it stands in each text that the identifier stands in as a word."""
+    return max(re.findall(r"\w+", key), key=len, default="")
+
+
+def words(text: Column) -> Column:
+    return F.split(text, f"[^{WORD}]+")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _probes(registry: tuple[Entry, ...], skip: int) -> Column:
     """What to look for, entry by entry, cashtags first: a constant array of structs."""
-    quote = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    quote = _quoted
     rows = []
     for place, e in enumerate(registry):
         if e.id != skip:
-            words = [("cased", n, n) for n in e.cased] + [("plain", n, n.lower()) for n in e.identifiers]
-            found = [("tag", c, c.lower(), "") for c in e.cashtags] + [(k, n, key, word_pattern(key)) for k, n, key in words if len(n) >= LEAST_LENGTH]
-            rows += [f"named_struct('place',{place},'id',{e.id}L,'symbol',{quote(e.symbol)},'kind','{k}','name',{quote(n)},'key',{quote(key)},'pattern',{quote(p)})" for k, n, key, p in found]
+            named = [("cased", n, n) for n in e.cased] + [("plain", n, n.lower()) for n in e.identifiers]
+            found = [("tag", c, c.lower(), "", "") for c in e.cashtags]
+            # an identifier that is a word needs no pattern, nor does one without any word have an anchor
+            found += [(k, n, key, anchor(key), "" if anchor(key) == key else word_pattern(key)) for k, n, key in named if len(n) >= LEAST_LENGTH]
+            rows += [f"named_struct('place',{place},'id',{e.id}L,'symbol',{quote(e.symbol)},'kind','{k}','name',{quote(n)},'key',{quote(key)},'anchor',{quote(w)},'pattern',{quote(p)})" for k, n, key, w, p in found]
     return F.expr("array(" + ",".join(rows) + ")")
 
 
+def _anchors(registry: tuple[Entry, ...], skip: int) -> tuple[Column, Column]:
+    """Anchors of identifiers in lower case, and of those in their own case: constant arrays."""
+    kept = [e for e in registry if e.id != skip]
+    plain = {anchor(n.lower()) for e in kept for n in e.identifiers if len(n) >= LEAST_LENGTH}
+    cased = {anchor(n) for e in kept for n in e.cased if len(n) >= LEAST_LENGTH}
+    listed = lambda known: F.expr("array(" + ",".join(map(_quoted, sorted(known))) + ")").cast("array<string>")
+    return listed(plain), listed(cased)
+
+
 def _score(tagged: Column, evidence: Column) -> Column:
     return F.when(F.size(evidence) == 0, 0.0).when(tagged, 1.0).when(F.size(evidence) > 1, 0.9).otherwise(0.8)
 
@@ -51,15 +80,19 @@ def match(text: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
     """The best entry: struct<id, symbol, confidence, evidence>; the default with low confidence for none.
 
     A cashtag anywhere scores 1 and stops there; several identifiers as words score 0.9,
-    one 0.8; of equal scores the earlier entry is taken.  One pass over the text finds
-    what stands in it, and only that is looked at as a word; one fold over what was found
+    one 0.8; of equal scores the earlier entry is taken.  The text's words are met with all
+    anchors at once, and only identifiers whose anchor stands in it are looked at; one fold over what was found
     keeps the best entry.
     """
+    anchors, cased_anchors = _anchors(registry, default.id)
 
     def hits(t: Column) -> Column:
         def stands(p: Column) -> Column:
-            where = F.when(p["kind"] == "cased", t["own"]).otherwise(t["lower"])
-            return F.contains(where, p["key"]) & ((p["kind"] == "tag") | F.regexp_like(where, p["pattern"]))
+            cased = p["kind"] == "cased"
+            where = F.when(cased, t["own"]).otherwise(t["lower"])
+            there = F.array_contains(F.when(cased, t["cased_words"]).otherwise(t["words"]), p["anchor"])
+            whole = (p["pattern"] == "") | (F.contains(where, p["key"]) & F.regexp_like(where, p["pattern"]))
+            return F.when(p["kind"] == "tag", F.contains(t["lower"], p["key"])).otherwise(((p["anchor"] == "") | there) & whole)
 
         return F.filter(_probes(registry, default.id), stands)
 
@@ -83,7 +116,10 @@ def match(text: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
         return F.struct(best["id"].alias("id"), best["symbol"].alias("symbol"), confidence.alias("confidence"), best["evidence"].alias("evidence"))
 
     own = F.coalesce(text, F.lit(""))
-    found = once(F.struct(own.alias("own"), F.lower(own).alias("lower")), hits)
+    both = once(own, lambda t: F.struct(t.alias("own"), F.lower(t).alias("lower")))
+    cased_words = F.array_intersect(words(own), cased_anchors) if any(e.cased for e in registry) else F.array().cast("array<string>")
+    known = once(both, lambda t: F.struct(t["own"].alias("own"), t["lower"].alias("lower"), F.array_intersect(words(t["lower"]), anchors).alias("words"), cased_words.alias("cased_words")))
+    found = once(known, hits)
     return F.aggregate(found, zero, add, lambda acc: once(better(acc), named))
 
 
@@ -97,3 +133,95 @@ def inherited(match: Column, asset_id: Column, registry: tuple[Entry, ...]) -> C
 def contributing(messages: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
     """Ids of the messages, array<struct<id, content>>, that alone match an entry."""
     return F.transform(F.filter(messages, lambda m: match(m["content"], registry, default)["confidence"] != "low"), lambda m: m["id"])
+
+
+#: Postings of so many bytes at most are broadcast; larger ones are joined by key.
+BROADCAST_BYTES = 1 << 25
+# How a key of a posting lies in a text: as a word of its lower case or of its own case, at a word's beginning, end or inside, or between words.
+WHOLE, CASED, HEAD, TAIL, INNER, GAP = "whole", "cased", "head", "tail", "inner", "gap"
+
+
+def postings(registry: DataFrame) -> DataFrame:
+    """What to look for of a registry table: id, symbol, kind, pos, name, key, mode, anchor and pattern.
+
+    An identifier has its longest word as anchor.  A cashtag may stand inside words; its anchor is a
+    word that it has whole, or else one that it has the end or the beginning of.
+    """
+    said = lambda kind, column: registry.select("id", "symbol", F.lit(kind).alias("kind"), F.posexplode(column).alias("pos", "name"))
+    rows = said("tag", "cashtags").unionByName(said("cased", "case_sensitive_identifiers").where(F.length("name") >= LEAST_LENGTH)).unionByName(said("plain", "unique_identifiers").where(F.length("name") >= LEAST_LENGTH))
+    rows = rows.where("name <> ''").withColumn("key", F.when(F.col("kind") == "cased", F.col("name")).otherwise(F.lower("name")))
+    is_tag, key = F.col("kind") == "tag", F.col("key")
+    longest = lambda found: F.get(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), F.lit(0))
+    known = F.coalesce(longest(F.regexp_extract_all(key, F.lit(f"[{WORD}]+"), F.lit(0))), F.lit(""))
+    inside = F.regexp_extract(key, f"[^{WORD}]([{WORD}]+)[^{WORD}]", 1)
+    mode = (
+        F.when(known == "", GAP)
+        .when(~is_tag, F.when(F.col("kind") == "cased", CASED).otherwise(WHOLE))
+        .when(inside != "", WHOLE)
+        .when(known == key, INNER)
+        .when(key.rlike(f"[{WORD}]$"), HEAD)
+        .otherwise(TAIL)
+    )
+    first, last = F.regexp_extract(key, f"^[{WORD}]+", 0), F.regexp_extract(key, f"[{WORD}]+$", 0)
+    rows = rows.withColumn("mode", mode)
+    chosen = F.when(F.col("mode") == GAP, key).when(~is_tag, known).when(F.col("mode") == WHOLE, inside).when(F.col("mode") == HEAD, last).when(F.col("mode") == TAIL, first).otherwise(key)
+    edge = lambda at, alone, none: F.when(key.rlike(f"{'^' if at else ''}[{WORD}]{'' if at else '$'}"), alone).otherwise(none)
+    escaped = F.regexp_replace(key, rf"([^{WORD}\s])", r"\\$1")
+    pattern = F.concat(edge(True, f"(^|[^{WORD}])", f"[{WORD}]"), escaped, edge(False, f"($|[^{WORD}])", f"[{WORD}]"))
+    return rows.withColumn("anchor", chosen).withColumn("pattern", F.when(~is_tag & (F.col("anchor") != key) | ~is_tag & (F.col("mode") == GAP), pattern))
+
+
+def _cuts(mode: str, n: int, runs: Column) -> Column:
+    """n characters of each run that has as many: at its beginning, its end, or anywhere."""
+    long = F.filter(runs, lambda w: F.length(w) >= n)
+    if mode == HEAD:
+        return F.transform(long, lambda w: F.left(w, F.lit(n)))
+    if mode == TAIL:
+        return F.transform(long, lambda w: F.right(w, F.lit(n)))
+    return F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))))
+
+
+def _keys(own: Column, lower: Column, shapes: list[tuple[str, int]]) -> Column:
+    """Distinct struct<mode, anchor> of a text, of the modes and lengths that postings have."""
+    keyed = lambda mode, found: F.transform(found, lambda w: F.struct(F.lit(mode).alias("mode"), w.alias("anchor")))
+    modes = {m for m, _ in shapes}
+    parts = [keyed(WHOLE, F.array_distinct(words(lower)))]
+    if CASED in modes:
+        parts.append(keyed(CASED, F.array_distinct(words(own))))
+    for mode, n in shapes:
+        if mode in (WHOLE, CASED):
+            continue
+        runs = F.regexp_extract_all(lower, F.lit(f"[^{WORD}]{{{n},}}"), F.lit(0)) if mode == GAP else words(lower)
+        parts.append(keyed(mode, F.array_distinct(_cuts(mode, n, F.array_distinct(runs)))))
+    return F.concat(*parts)
+
+
+def all_matches(texts: DataFrame, registry: DataFrame, *, key: str = "id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every entry that a text matches: (key, id, symbol, score, evidence), by the rules of :func:`match`, for a registry table of any size.
+
+    Words of a text meet postings in a join on anchors, and only what they find there is looked at.  Postings
+    up to `broadcast_bytes` are broadcast, and no text is shuffled; beyond that anchors are joined by key, and texts
+    only with what was found.  Rows are told apart by `key`, so rows of one key match as one; a null or empty text matches nothing.
+    """
+    found = postings(registry).withColumn("__p", F.struct("id", "symbol", "kind", "pos", "name", "key", "pattern")).select("mode", "anchor", "__p")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("anchor") + 2 * F.octet_length("__p.key") + F.octet_length("__p.name") + F.octet_length("__p.symbol") + 64), F.lit(0)).alias("n")).first().n
+    shapes = sorted((r["mode"], r["n"]) for r in found.select("mode", F.when(F.col("mode").isin(WHOLE, CASED), 0).otherwise(F.length("anchor")).alias("n")).distinct().collect())
+    own = F.coalesce(F.col(text), F.lit(""))
+    rows = texts.select(F.col(key).alias("__key"), own.alias("__own"), F.lower(own).alias("__lower"))
+    where = F.when(F.col("__p.kind") == "cased", F.col("__own")).otherwise(F.col("__lower"))
+    stands = F.col("__p.pattern").isNull() & (F.col("__p.kind") != "tag") | F.contains(where, F.col("__p.key")) & (F.col("__p.pattern").isNull() | F.regexp_like(where, F.col("__p.pattern")))
+    words_of = rows.select("*", F.explode(_keys(F.col("__own"), F.col("__lower"), shapes)).alias("__k")).select("__key", "__own", "__lower", "__k.mode", "__k.anchor")
+    if size <= broadcast_bytes:
+        met = words_of.join(F.broadcast(found), ["mode", "anchor"]).where(stands).select("__key", "__p")
+    else:
+        sure = F.col("__p.pattern").isNull() & (F.col("__p.kind") != "tag")
+        near = words_of.select("__key", "mode", "anchor").join(found, ["mode", "anchor"]).select("__key", "__p")
+        asked = near.where(~sure).groupBy("__key").agg(F.collect_set("__p").alias("__ps")).withColumnRenamed("__key", "__asked")
+        again = rows.join(asked, F.col("__key").eqNullSafe(F.col("__asked"))).select("__key", "__own", "__lower", F.explode("__ps").alias("__p"))
+        met = near.where(sure).unionByName(again.where(stands).select("__key", "__p"))
+    tagged = F.bool_or(F.col("__p.kind") == "tag")
+    order = F.when(F.col("__p.kind") == "cased", 0).otherwise(1)
+    listed = lambda test: F.transform(F.array_sort(F.collect_set(F.when(test, F.struct(order.alias("o"), "__p.pos", "__p.name")))), lambda x: x["name"])
+    by_entry = met.groupBy("__key", F.col("__p.id").alias("id"), F.col("__p.symbol").alias("symbol")).agg(tagged.alias("tagged"), listed(F.col("__p.kind") == "tag").alias("tags"), listed(F.col("__p.kind") != "tag").alias("names"))
+    evidence = F.when(F.col("tagged"), F.col("tags")).otherwise(F.col("names"))
+    return by_entry.select(F.col("__key").alias(key if key not in ("id", "symbol") else f"text_{key}"), "id", "symbol", _score(F.col("tagged"), evidence).alias("score"), evidence.alias("evidence"))

@@ -28,5 +28,6 @@ def annotation(classification: Column, kind: str, analyzed_at: Column | None = N
 
 def annotated(items: DataFrame, classification: str, kind: str, analyzed_at: Column | None = None) -> DataFrame:
     """items with `analysis` for the classification in that column; items without one, as those without text, aren't sent."""
-    kept = items.where(F.col(classification).isNotNull())
+    # exploded rather than filtered: a filter on what is computed would compute it twice
+    kept = items.withColumn(classification, F.explode(F.array_compact(F.array(classification))))
     return kept.withColumn("analysis", annotation(F.col(classification), kind, analyzed_at)).drop(classification)

@@ -16,7 +16,7 @@ from ..functions.scoring import Economy
 from ..operators import annotate, consensus, dispatch, ledger, lifecycle, validation, votes, weights
 from ..sources import readers
 from ..session import SETTINGS
-from ..sources.registries import NO_ASSET, OTHER_SECTOR, SECTORS, SOURCE_CREDIBILITY, Entry
+from ..sources.registries import NO_ASSET, OTHER_SECTOR, SECTORS, SOURCE_CREDIBILITY, Entry, as_table
 from ..streaming import epochs, processors, sink
 from . import inputs as I
 
@@ -102,6 +102,14 @@ def q_match_case_sensitive(spark, sf):
     return _matched(I.table(spark, sf, "documents"), "doc_id", "text", I.FIXTURE, I.FIXTURE[-1])
 
 
+@query(_match_sql(I.FIXTURE, I.FIXTURE[-1]) + "SELECT doc_id, CAST(id AS BIGINT) AS id, symbol, CAST(score AS DOUBLE) AS score, array_to_string(evidence, ',') AS evidence FROM scored")
+def q_match_all(spark, sf):
+    """All entries of a registry table that each text matches."""
+    registry = as_table(spark, I.FIXTURE[:-1])
+    out = matching.all_matches(I.table(spark, sf, "documents"), registry, key="doc_id")
+    return out.withColumn("evidence", F.array_join("evidence", ","))
+
+
 @query("""SELECT doc_id, CAST(doc_id AS VARCHAR) || '|' || lang || '|neutral|none|other|NONE|' || CASE WHEN n_chars > 500 THEN 'high' ELSE 'None' END || '|'
   || array_to_string(list_sort([lower(source), lower('Zeta ' || lang), 'mid']), '|') AS canonical FROM documents""")
 def q_canonical_string(spark, sf):
@@ -111,9 +119,9 @@ def q_canonical_string(spark, sf):
     return d.select("doc_id", out.alias("canonical"))
 
 
-SOURCE_NAMES = [s for names in SOURCE_CREDIBILITY.values() for s in names.split()][:20]
+SOURCE_NAMES = list(SOURCE_CREDIBILITY)[:20]
 _source_name = "CASE CAST(substr(source, 4) AS INTEGER) % 24 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SOURCE_NAMES)) + " ELSE source END"
-_credibility = "CASE outlet " + " ".join(f"WHEN '{s}' THEN {w}" for w, names in SOURCE_CREDIBILITY.items() for s in names.split() if s in SOURCE_NAMES) + " ELSE 0.5 END"
+_credibility = "CASE outlet " + " ".join(f"WHEN '{s}' THEN {SOURCE_CREDIBILITY[s]}" for s in SOURCE_NAMES) + " ELSE 0.5 END"
 
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:

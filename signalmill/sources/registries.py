@@ -44,13 +44,83 @@ NO_ASSET, OTHER_SECTOR = Entry(0, "NONE", "None"), SECTORS[-1]
 
 # The credibility of news sources; 0.5 for any other.
 SOURCE_CREDIBILITY = {
-    1.0: "reuters ap_news bbc financial_times wsj bloomberg",
-    0.9: "economist nytimes washington_post federal_reserve sec treasury",
-    0.8: "cnbc guardian politico npr forbes barrons abc_news cbs_news nbc_news cnn_finance la_times usa_today chicago_tribune the_atlantic brookings nasa cdc_newsroom nature_news",
-    0.7: "techcrunch ars_technica wired marketwatch investopedia nasdaq seeking_alpha yahoo_finance sp_global investing_com business_insider the_hill propublica mit_tech_review vox al_jazeera france24 deutsche_welle scmp nhk_world le_monde der_spiegel scientific_american new_scientist ieee_spectrum",
-    0.6: "motley_fool benzinga thestreet zacks zero_hedge engadget gizmodo japan_times the_hindu kqed science_daily live_science space_com scotusblog smithsonian inside_climate",
-    0.5: "rolling_stone variety hollywood_reporter",
-    0.4: "pitchfork artforum rt_news",
+    "reuters": 1.0,
+    "ap_news": 1.0,
+    "bbc": 1.0,
+    "financial_times": 1.0,
+    "wsj": 1.0,
+    "bloomberg": 1.0,
+    "economist": 0.9,
+    "nytimes": 0.9,
+    "washington_post": 0.9,
+    "cnbc": 0.8,
+    "guardian": 0.8,
+    "politico": 0.8,
+    "npr": 0.8,
+    "forbes": 0.8,
+    "barrons": 0.8,
+    "abc_news": 0.8,
+    "cbs_news": 0.8,
+    "nbc_news": 0.8,
+    "cnn_finance": 0.8,
+    "la_times": 0.8,
+    "usa_today": 0.8,
+    "chicago_tribune": 0.8,
+    "the_atlantic": 0.8,
+    "techcrunch": 0.7,
+    "ars_technica": 0.7,
+    "wired": 0.7,
+    "marketwatch": 0.7,
+    "investopedia": 0.7,
+    "nasdaq": 0.7,
+    "seeking_alpha": 0.7,
+    "yahoo_finance": 0.7,
+    "sp_global": 0.7,
+    "investing_com": 0.7,
+    "business_insider": 0.7,
+    "the_hill": 0.7,
+    "propublica": 0.7,
+    "mit_tech_review": 0.7,
+    "vox": 0.7,
+    "motley_fool": 0.6,
+    "benzinga": 0.6,
+    "thestreet": 0.6,
+    "zacks": 0.6,
+    "zero_hedge": 0.6,
+    "engadget": 0.6,
+    "gizmodo": 0.6,
+    "federal_reserve": 0.9,
+    "sec": 0.9,
+    "treasury": 0.9,
+    "brookings": 0.8,
+    "nasa": 0.8,
+    "cdc_newsroom": 0.8,
+    "al_jazeera": 0.7,
+    "france24": 0.7,
+    "deutsche_welle": 0.7,
+    "scmp": 0.7,
+    "nhk_world": 0.7,
+    "japan_times": 0.6,
+    "the_hindu": 0.6,
+    "le_monde": 0.7,
+    "der_spiegel": 0.7,
+    "kqed": 0.6,
+    "nature_news": 0.8,
+    "scientific_american": 0.7,
+    "new_scientist": 0.7,
+    "ieee_spectrum": 0.7,
+    "science_daily": 0.6,
+    "live_science": 0.6,
+    "space_com": 0.6,
+    "rolling_stone": 0.5,
+    "pitchfork": 0.4,
+    "variety": 0.5,
+    "hollywood_reporter": 0.5,
+    "artforum": 0.4,
+    "scotusblog": 0.6,
+    "smithsonian": 0.6,
+    "inside_climate": 0.6,
+    "rt_news": 0.4,
 }
 DEFAULT_CREDIBILITY = 0.5
 
@@ -66,19 +136,23 @@ CONFIDENCES = ("high", "medium", "low")
 
 def credibility(spark: SparkSession) -> DataFrame:
     """(source, credibility), under a hundred rows."""
-    return spark.createDataFrame([(s, w) for w, names in SOURCE_CREDIBILITY.items() for s in names.split()], "source string, credibility double")
+    return spark.createDataFrame(list(SOURCE_CREDIBILITY.items()), "source string, credibility double")
+
+
+def registry_table(spark: SparkSession, path: str) -> DataFrame:
+    """A registry of any size from a JSON array, as a table for :func:`matching.all_matches`."""
+    return spark.read.schema(REGISTRY).option("multiLine", True).json(path)
 
 
 def read_registry(spark: SparkSession, path: str) -> tuple[Entry, ...]:
-    """Entries of a JSON array, in file order."""
-    rows = spark.read.schema(REGISTRY).option("multiLine", True).json(path)
-    if rows.count() > MAX_ENTRIES:
-        raise ValueError(f"a registry of more than {MAX_ENTRIES} entries can't be one expression")
-    return tuple(Entry(r.id, r.symbol, r.name, tuple(r.unique_identifiers or ()), tuple(r.case_sensitive_identifiers or ()), tuple(r.cashtags or ()), r.description) for r in rows.collect())
+    """Entries of a JSON array, in file order, for expressions; one with very many entries is better kept as a table."""
+    rows = registry_table(spark, path).collect()
+    return tuple(Entry(r.id, r.symbol, r.name, tuple(r.unique_identifiers or ()), tuple(r.case_sensitive_identifiers or ()), tuple(r.cashtags or ()), r.description) for r in rows)
 
 
-#: A registry becomes one expression, which is planned on the driver.
-MAX_ENTRIES = 1000
+def as_table(spark: SparkSession, registry: tuple[Entry, ...]) -> DataFrame:
+    """Entries as a table, in the schema of a stored registry."""
+    return spark.createDataFrame([(e.id, e.symbol, e.name, e.description, list(e.identifiers), list(e.cased), list(e.cashtags), None) for e in registry], REGISTRY)
 
 
 def with_entry(registry: tuple[Entry, ...], entry: Entry) -> tuple[Entry, ...]:
