@@ -20,12 +20,13 @@ def sequenced(broadcasts: DataFrame) -> DataFrame:
     """Of (sender, seq, arrival, ...): with accepted and reason, by arrival.
 
     A sequence number must be above all of the sender's before it; one without a
-    positive value uses its number up, too, but isn't accepted.  uid_values is a map.
+    positive value uses its number up, too, but isn't accepted.  A null number is refused and
+    changes nothing.  uid_values is a map.
     """
     before = W.partitionBy("sender").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
     last = F.greatest(F.max("seq").over(before), F.lit(-1))  # numbers below 0 never count
     out = broadcasts.withColumn("uid_values", positive("uid_values")).withColumn("__last", last)
-    reason = F.when(F.col("seq") <= F.col("__last"), "duplicate_or_old_seq").when(F.size("uid_values") == 0, "empty_payload").otherwise("accepted")
+    reason = F.when(F.col("seq").isNull(), "missing_seq").when(F.col("seq") <= F.col("__last"), "duplicate_or_old_seq").when(F.size("uid_values") == 0, "empty_payload").otherwise("accepted")
     return out.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("__last")
 
 
@@ -51,7 +52,7 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old = seq is not None and seq <= last and not (last > 0 and seq < last // 10)
             if seq is not None and not old:
                 last = seq
-            reasons.append("duplicate_or_old_seq" if old else "accepted" if full else "empty_payload")
+            reasons.append("missing_seq" if seq is None else "duplicate_or_old_seq" if old else "accepted" if full else "empty_payload")
         yield batch.drop_columns(["__full"]).append_column("reason", pa.array(reasons, pa.string()))
 
 

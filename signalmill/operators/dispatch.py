@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lifecycle import PROCESSING, UNPROCESSED
+from .ranges import intervals, numbered, within
 from .validation import seeded_order
 
 # Items to a batch, stakes that make a validator, failures that start a cooldown, its lengths in seconds, and batches in flight.
@@ -91,6 +93,68 @@ def assigned(batches: DataFrame, workers: DataFrame, seed: str, me: str | None =
     return numbers.join(shuffled, "place").select("batch", "hotkey")
 
 
+def free_slots(workers: DataFrame, in_flight: DataFrame, each: int, most: int = MAX_IN_FLIGHT) -> DataFrame:
+    """(hotkey, slots): batches that a worker may be given now, at most `each` and as many as are missing to `most` in flight."""
+    busy = in_flight.groupBy("hotkey").agg(F.count(F.lit(1)).alias("__busy"))
+    free = F.least(F.lit(each), F.lit(most) - F.coalesce("__busy", F.lit(0)))
+    return workers.select("hotkey").join(busy, "hotkey", "left").select("hotkey", free.alias("slots")).where("slots > 0")
+
+
+def planned(
+    items: DataFrame,
+    workers: DataFrame,
+    in_flight: DataFrame,
+    cooldowns: DataFrame,
+    as_of: Column,
+    seed: str,
+    *,
+    order: str = "arrived",
+    me: str | None = None,
+    barred: DataFrame | None = None,
+    each: int = 1,
+    size: int = BATCH,
+    pending: int | None = MAX_PENDING,
+) -> DataFrame:
+    """items (item_id and order) with their batch and the hotkey that it goes to, null if it waits for the next poll.
+
+    Items make batches by arrival.  Workers in a fixed shuffle, without oneself, barred ones and those on
+    cooldown, offer their free slots: as intervals laid end to end, in which the batches' numbers lie.  With each=1 a batch
+    meets one worker by place; with more a worker is filled before the next one is asked.  `pending` bounds
+    the batches that go out; None is no bound.
+    """
+    if me is not None:
+        workers = workers.where(F.col("hotkey") != me)
+    for out in [cooling(cooldowns, as_of), *([] if barred is None else [barred])]:
+        workers = workers.join(out.select("hotkey"), "hotkey", "left_anti")
+    offers = intervals(free_slots(workers, in_flight, each), F.col("slots"), seeded_order(seed, F.col("hotkey")), "hotkey")
+    batches = numbered(items, order, "item_id").withColumn("batch", F.floor(F.col("ordinal") / size).cast("long")).drop("ordinal")
+    numbers = batches.select("batch").distinct()
+    if pending is not None:
+        numbers = numbers.where(F.col("batch") < pending)
+    pairs = within(numbers, "batch", offers, each).select("batch", "hotkey")
+    return batches.join(pairs, "batch", "left")
+
+
+def delivered(plan: DataFrame, replies: DataFrame, as_of: Column, full: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What became of a plan, by replies (batch, code), of which a failure to send has none.
+
+    First its items with status, owner and start_time: accepted ones (200) are in processing; all items of any
+    other batch are queued again, as are those whose worker, one of `full`, had no slot left when its turn came.
+    Second the workers' events (hotkey, at, event_id, ok) for their cooldowns: a worker that was full wasn't asked, so it has none.
+    """
+    out = plan.join(replies.select("batch", "code"), "batch", "left")
+    taken = F.lit(False)
+    if full is not None:
+        out = out.join(full.select("hotkey", F.lit(True).alias("__full")).distinct(), "hotkey", "left")
+        taken = F.coalesce("__full", F.lit(False))
+    sent = F.col("hotkey").isNotNull() & ~taken
+    ok = sent & F.coalesce(F.col("code") == 200, F.lit(False))
+    rows = out.withColumn("__sent", sent).withColumn("__ok", ok)
+    items = rows.select("item_id", "batch", F.when(F.col("__ok"), PROCESSING).otherwise(UNPROCESSED).alias("status"), F.when(F.col("__sent"), F.col("hotkey")).alias("hotkey"), F.when(F.col("__ok"), as_of).alias("start_time"))
+    events = rows.where("__sent").groupBy("batch", "hotkey").agg(F.first("__ok").alias("ok"))
+    return items, events.select("hotkey", as_of.alias("at"), F.col("batch").alias("event_id"), "ok")
+
+
 def broadcast_targets(participants: DataFrame, allowlist: DataFrame, me: str, seed: str, most: int = MAX_TARGETS) -> DataFrame:
     """Serving peers on the allowlist, without oneself, at most `most`."""
     peers = participants.where(F.col("is_serving") & (F.col("hotkey") != me)).join(allowlist, "hotkey", "left_semi")

@@ -15,17 +15,21 @@ KEEP_ITEMS = 1000
 def current(events: DataFrame) -> DataFrame:
     """Of (item_id, seq, event, at, hotkey): the state of every item after its last event.
 
-    Events: add, process (sets the clock and the owner), result (sets the clock), done,
+    Events: add, process (sets the clock and the owner), result (sets the clock, if the item is in processing), done,
     reset (keeps the owner), submitted, rewarded, delete (the item is new from then on).
     """
     since = F.coalesce(F.max(F.when(F.col("event") == "delete", F.col("seq"))).over(W.partitionBy("item_id")), F.lit(-1))
     alive = events.withColumn("__since", since).where(F.col("seq") > F.col("__since"))
     is_ = lambda *names: F.col("event").isin(*names)
     last = lambda value, test: F.max_by(value, F.when(test, F.col("seq")))
+    # a result of an item that isn't in processing any more is no delivery
+    before = W.partitionBy("item_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    alive = alive.withColumn("__in", F.last(F.when(is_("add", "process", "done", "reset"), F.col("event")), ignorenulls=True).over(before))
+    clock = is_("process", "reset") | (is_("result") & (F.col("__in") == "process"))
     state = F.when(is_("process"), PROCESSING).when(is_("done"), PROCESSED).otherwise(UNPROCESSED)
     out = alive.groupBy("item_id").agg(
         last(state, is_("add", "process", "done", "reset")).alias("status"),
-        last(F.when(~is_("reset"), F.col("at")), is_("process", "result", "reset")).alias("start_time"),
+        last(F.when(~is_("reset"), F.col("at")), clock).alias("start_time"),
         last(F.col("hotkey"), is_("add", "process") & F.col("hotkey").isNotNull()).alias("hotkey"),
         F.max(is_("submitted")).alias("submitted"),
         F.max(is_("rewarded")).alias("rewarded"),

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_text, normalised_keys, preview
+from ..functions import classify
+from ..functions.text import norm_text, normalised_keys, preview, with_context
+from ..sources.registries import Entry
 
 # How far token and sentiment values may be apart, what counts as noise, and tokens compared at most.
 TOKEN_TOLERANCE, SENTIMENT_TOLERANCE, NOISE, MAX_TOKENS = 0.05, 0.05, 0.05, 128
@@ -50,6 +52,53 @@ def compared(items: DataFrame, target: str = "asset_id", text: str = "text") ->
     return items.withColumn("reason", reason).withColumn("field_results", F.when(F.col("reason") == "classification_mismatch", fields)).withColumn("preview", preview(F.col(text)))
 
 
+def frames(messages: DataFrame, picked: DataFrame, conversation: str, order: str, n: int = 2, fields: tuple[str, ...] = ("user", "content")) -> DataFrame:
+    """picked (conversation, order) with `context`, the n messages before each, oldest first, as structs of `fields`.
+
+    Only places are computed for all messages; texts are looked up for the rows in some frame.  `order`
+    tells the messages of a conversation apart.
+    """
+    place = F.row_number().over(W.partitionBy(conversation).orderBy(order))
+    places = messages.select(conversation, order, place.alias("__place"))
+    targets = picked.select(conversation, order).join(places, [conversation, order])
+    wanted = targets.select(conversation, F.col(order).alias("__target"), F.explode(F.sequence(F.greatest(F.col("__place") - n, F.lit(1)), F.col("__place"))).alias("__place"))
+    rows = wanted.join(places, [conversation, "__place"]).where(F.col(order) != F.col("__target"))
+    rows = rows.join(messages.select(conversation, order, F.struct(*fields).alias("__message")), [conversation, order])
+    context = F.transform(F.array_sort(F.collect_list(F.struct("__place", "__message"))), lambda x: x["__message"])
+    found = rows.groupBy(conversation, F.col("__target").alias(order)).agg(context.alias("context"))
+    return picked.join(found, [conversation, order], "left").withColumn("context", F.coalesce("context", F.array().cast(found.schema["context"].dataType)))
+
+
+def recomputed_chat(messages: DataFrame, n: int, seed: str, registry: tuple[Entry, ...], default: Entry, *, conversation: str = "conversation", order: str = "order") -> DataFrame:
+    """n messages of each batch compared with one's own labels: of (batch, conversation, order, user, content, inherited_asset_id, worker).
+
+    The sample is drawn before anything is classified; a sampled message is labelled in its context, which comes in
+    reverse, and with the asset that it inherits.  See :func:`compared` for the columns added.
+    """
+    key = F.concat_ws("-", conversation, order)
+    narrow = messages.select("batch", conversation, order, key.alias("__id"))
+    picked = sampled(narrow, n, seed, "__id", ["batch"]).drop("__id")
+    framed = frames(messages, picked, conversation, order)
+    own = messages.select(conversation, order, "user", "content", "inherited_asset_id", "worker")
+    rows = framed.join(own, [conversation, order])
+    group = with_context(F.col("context"), F.struct("user", "content"))
+    found = classify.classify_group(group, F.col("inherited_asset_id"), registry, default)
+    return compared(rows.withColumn("own", _labelled(found, "asset_id")), "asset_id", "content")
+
+
+def recomputed_articles(articles: DataFrame, n: int, seed: str, registry: tuple[Entry, ...], default: Entry, *, key: str = "id") -> DataFrame:
+    """n articles of each batch compared with one's own labels: of (batch, key, title, summary, content, worker); previews are titles."""
+    picked = sampled(articles.select("batch", key), n, seed, key, ["batch"])
+    rows = picked.join(articles.drop("batch"), key)
+    found = classify.classify_article(F.col("title"), F.col("summary"), F.col("content"), registry, default)
+    return compared(rows.withColumn("own", _labelled(found, "sector_id")), "sector_id", "title")
+
+
+def _labelled(found: Column, target: str) -> Column:
+    """A classification as labels with the target's id, null where there is none; it is computed once, on what was sampled."""
+    return classify.once(found, lambda c: F.when(c.isNotNull(), F.struct(c["id"].alias(target), *[c[f].alias(f) for f in LABELS])))
+
+
 def verdicts(compared: DataFrame) -> DataFrame:
     """Per batch: matches, total_sampled, match_rate, is_valid and the discrepancies in sample order."""
     bad = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("sample_index", "reason", "preview"))))

@@ -18,6 +18,7 @@ from ..sources import readers
 from ..session import SETTINGS
 from ..sources.registries import NO_ASSET, OTHER_SECTOR, SECTORS, SOURCE_CREDIBILITY, Entry, as_table
 from ..streaming import epochs, processors, sink
+from ..tables import VersionedTable, shared_folder
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,7 +480,10 @@ L = f"WITH w AS ({I.WORK_ITEMS_SQL})"
 
 
 def _item_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = I.events(spark, sf)
+    return _as_item_events(I.events(spark, sf))
+
+
+def _as_item_events(e: DataFrame) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in (("signup", "add"), ("view", "process"), ("click", "result"), ("purchase", "done"), ("error", "reset")) for x in pair]), F.col("event_type"))
     owner = F.when(kind == "process", F.concat(F.lit("w"), F.pmod("event_id", F.lit(9)).cast("string")))
     return e.select(F.concat(F.lit("i"), F.pmod(F.col("user_id") * 13 + F.floor("value"), F.lit(500)).cast("string")).alias("item_id"), F.col("event_id").alias("seq"), kind.alias("event"), F.col("ts").alias("at"), owner.alias("hotkey"))
@@ -573,6 +577,46 @@ def q_chunk_dispatch(spark, sf):
     return batches.join(pairs, "batch").select("item_id", "batch", "hotkey")
 
 
+POLL_AT = "2024-01-30 23:26:20"
+DP = f"""{E}, w AS ({I.WORK_ITEMS_SQL}), part AS ({I.PARTICIPANTS_SQL}), o AS (SELECT hotkey, ts, event_id, event_type <> 'error' AND event_id % 4 = 0 AS ok FROM e WHERE event_type <> 'signup'),
+n AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY hotkey ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY hotkey) AS runs FROM o),
+g AS (SELECT hotkey, CAST(least(greatest(count(*) - 9, 0), 5) AS INTEGER) AS level, max(ts) AS last FROM n WHERE NOT ok AND run = runs GROUP BY hotkey),
+cool AS (SELECT hotkey FROM g WHERE level > 0 AND last + to_seconds([30, 60, 120, 300, 600][level]) > TIMESTAMP '{POLL_AT}'),
+busy AS (SELECT hotkey, count(*) AS busy FROM (SELECT DISTINCT hotkey, floor(CAST(item_id AS BIGINT) / 12) AS batch FROM w WHERE status = 'Processing') GROUP BY hotkey),
+offer AS (SELECT hotkey, {dispatch.MAX_IN_FLIGHT} - coalesce(busy, 0) AS slots FROM part LEFT JOIN busy USING (hotkey) WHERE is_serving AND NOT (validator_permit AND stake > 4096) AND hotkey <> 'hk7' AND uid % 11 <> 0 AND hotkey NOT IN (SELECT hotkey FROM cool) AND slots > 0),
+span AS (SELECT hotkey, sum(slots) OVER (ORDER BY md5('plan' || hotkey), hotkey ROWS UNBOUNDED PRECEDING) AS upto, slots FROM offer),
+q AS (SELECT item_id, CAST(floor((row_number() OVER (ORDER BY CAST(item_id AS BIGINT), item_id) - 1) / 3) AS BIGINT) AS batch FROM w WHERE status = 'Unprocessed'),
+plan AS (SELECT q.item_id, q.batch, span.hotkey FROM q LEFT JOIN span ON q.batch < span.upto AND q.batch >= span.upto - span.slots)"""
+
+
+def _dispatch_plan(spark: SparkSession, sf: str) -> DataFrame:
+    work = I.work_items(spark, sf)
+    items = lifecycle.with_status(work, "Unprocessed").select("item_id", F.col("item_id").cast("long").alias("arrived"))
+    people = I.participants(spark, sf)
+    busy = lifecycle.with_status(work, "Processing").select("hotkey", F.floor(F.col("item_id").cast("long") / 12).alias("batch")).distinct()
+    e = I.events(spark, sf).where("event_type <> 'signup'")
+    runs = dispatch.cooldowns(e.select("hotkey", F.col("ts").alias("at"), "event_id", ((F.col("event_type") != "error") & (F.col("event_id") % 4 == 0)).alias("ok")))
+    at = F.lit(POLL_AT).cast("timestamp")
+    return dispatch.planned(items, dispatch.available(people), busy, runs, at, "plan", me="hk7", barred=people.where("uid % 11 = 0"), each=dispatch.MAX_IN_FLIGHT, pending=None)
+
+
+@query(f"{DP} SELECT item_id, batch, hotkey FROM plan")
+def q_dispatch_plan(spark, sf):
+    """Which batch of waiting items goes to which worker's free slot in one poll, and which waits."""
+    return _dispatch_plan(spark, sf).select("item_id", "batch", "hotkey")
+
+
+@query(f"""{DP}, r AS (SELECT *, hotkey IS NOT NULL AND CAST(substr(hotkey, 3) AS BIGINT) % 13 <> 0 AS sent FROM plan)
+  SELECT item_id, batch, CASE WHEN sent AND batch % 7 <> 0 AND batch % 11 <> 3 THEN 'Processing' ELSE 'Unprocessed' END AS status, CASE WHEN sent THEN hotkey END AS hotkey FROM r""")
+def q_dispatch_outcome(spark, sf):
+    """Items after the replies: one batch in seven is refused, some replies are missing, some workers had no slot left."""
+    plan = _dispatch_plan(spark, sf)
+    k = F.col("batch")
+    replies = plan.select("batch").distinct().where(k % 11 != 3).withColumn("code", F.when(k % 7 == 0, 500).otherwise(200))
+    full = I.participants(spark, sf).where("uid % 13 = 0")
+    return dispatch.delivered(plan, replies, F.lit(POLL_AT).cast("timestamp"), full)[0].select("item_id", "batch", "status", "hotkey")
+
+
 @query(f"WITH part AS ({I.PARTICIPANTS_SQL}) SELECT uid FROM part WHERE uid <> 5 ORDER BY CASE WHEN uid IN (3, 90) THEN 0 ELSE 1 END, md5('pick' || CAST(uid AS VARCHAR)), uid LIMIT 12")
 def q_sample_uids(spark, sf):
     return dispatch.chosen_uids(I.participants(spark, sf), 12, "pick", include=[3, 90], exclude=[5]).select("uid")
@@ -653,12 +697,14 @@ def _rules_sql(rules: dict[str, str], default: str) -> str:
     return f"CASE {tests} ELSE '{default}' END"
 
 
-def _labels_sql(source: str) -> str:
+def _labels_sql(source: str, article: bool = False) -> str:
     """source (k, text) with t, w and the label of each dimension."""
     specifics = " + ".join(f"CAST(regexp_matches(t, '{p}') AS INTEGER)" for p in classify.SPECIFICS)
     technical = f"list_has_any(w, [{', '.join(map(repr, classify.TECHNICAL_WORDS.split()))}])"
     quality = f"CASE {specifics} WHEN 0 THEN CASE WHEN {technical} THEN 'low' ELSE 'none' END WHEN 1 THEN 'medium' ELSE 'high' END"
     rules = {d: _rules_sql(classify.RULES[d], classify.DEFAULTS[d]) for d in ("content_type", "sentiment", "market_analysis", "impact_potential")} | {"technical_quality": quality}
+    if article:
+        rules["content_type"] = _rules_sql(classify.ARTICLE_CONTENT_RULES, classify.DEFAULTS["content_type"])
     columns = ", ".join(f"{sql} AS {d}" for d, sql in rules.items())
     return f"SELECT k, {columns} FROM (SELECT *, list_distinct(string_split_regex(t, '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM (SELECT k, lower(coalesce(text, '')) AS t FROM {source}))"
 
@@ -681,6 +727,61 @@ def q_annotate_batch(spark, sf):
     return out.select("doc_id", "analysis.*")
 
 
+def _verdict_sql(picked: str, target: str, worker: dict[str, str], has_worker: str, own_id: str, has_own: str, article: bool = False) -> str:
+    """Verdicts by batch of picked (batch, k, nth, text, ...), relabelled, against the worker's labels."""
+    source = f"(SELECT k, text FROM ({picked}))"
+    agrees = " AND ".join(f"lower({w}) = lower(l.{d})" for d, w in worker.items() if d != target)
+    reason = f"CASE WHEN NOT ({has_worker}) THEN 'missing_miner_classification' WHEN {worker[target]} IS NULL THEN 'miner_needs_update' WHEN NOT ({has_own}) THEN 'validator_classification_failed' WHEN NOT ({worker[target]} = {own_id} AND {agrees}) THEN 'classification_mismatch' END"
+    return _match_sql(I.FIXTURE, I.FIXTURE[-1], source, "k") + f""", l AS ({_labels_sql(source, article)}),
+c AS (SELECT p.batch, p.nth, {reason} AS reason FROM ({picked}) p JOIN matched m USING (k) JOIN l USING (k))
+SELECT batch, count(*) FILTER (WHERE reason IS NULL) AS matches, count(*) AS total_sampled, round(count(*) FILTER (WHERE reason IS NULL) / count(*), 6) AS match_rate, count(*) = count(*) FILTER (WHERE reason IS NULL) AS is_valid,
+  coalesce(array_to_string(list(reason ORDER BY nth) FILTER (WHERE reason IS NOT NULL), ','), '') AS reasons FROM c GROUP BY batch"""
+
+
+def _verdict_rows(compared: DataFrame) -> DataFrame:
+    out = validation.verdicts(compared)
+    return out.select("batch", "matches", "total_sampled", r6("match_rate").alias("match_rate"), "is_valid", F.array_join(F.transform("discrepancies", lambda x: x["reason"]), ",").alias("reasons"))
+
+
+PLAIN_LABELS = {"sentiment": "NEUTRAL", "content_type": "other", "technical_quality": "none", "market_analysis": "other", "impact_potential": "none"}
+_plain_sql = {d: f"'{v}'" for d, v in PLAIN_LABELS.items()}
+
+
+def _worker(test: Column, target: str, value: Column) -> Column:
+    """A worker's labels, the plain ones and a target, where test holds."""
+    return F.when(test, F.struct(value.cast("long").alias(target), *[F.lit(v).alias(d) for d, v in PLAIN_LABELS.items()]))
+
+
+CHAT_PICKED = """SELECT *, concat_ws(' ', x1, x2, own) AS text FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY md5('chat' || conv_id || '-' || turn), conv_id || '-' || turn) AS nth FROM (
+  SELECT conv_id, turn, conv_id * 1000 + turn AS k, CAST(floor((conv_id * 8 + turn) / 3) AS BIGINT) AS batch, text AS own, lag(text, 1) OVER c AS x1, lag(text, 2) OVER c AS x2, CASE WHEN (conv_id + turn) % 3 = 0 THEN turn % 6 END AS inherited
+  FROM conversations WINDOW c AS (PARTITION BY conv_id ORDER BY turn))) WHERE nth = 1"""
+
+
+@query(_verdict_sql(CHAT_PICKED, "asset_id", {"asset_id": "CASE WHEN k % 31 <> 0 THEN coalesce(inherited, 2) END"} | _plain_sql, "k % 29 <> 0", "coalesce(p.inherited, m.id)", "true"))
+def q_validate_chat(spark, sf):
+    """Verdicts on batches of three messages, one of each labelled anew in its conversation."""
+    k = F.col("conv_id") * 1000 + F.col("turn")
+    inherited = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.col("turn") % 6)
+    worker = _worker(k % 29 != 0, "asset_id", F.when(k % 31 != 0, F.coalesce(inherited, F.lit(2))))
+    batch = F.floor((F.col("conv_id") * 8 + F.col("turn")) / 3).cast("long")
+    c = I.table(spark, sf, "conversations").select(batch.alias("batch"), "conv_id", "turn", F.col("role").alias("user"), F.col("text").alias("content"), inherited.alias("inherited_asset_id"), worker.alias("worker"))
+    return _verdict_rows(validation.recomputed_chat(c, 1, "chat", I.FIXTURE, I.FIXTURE[-1], conversation="conv_id", order="turn"))
+
+
+ARTICLE_PICKED = """SELECT *, concat_ws(chr(10) || chr(10), 'Doc ' || k, CASE WHEN length(content) > 0 THEN substr(content, 1, 3000) END) AS text FROM (
+  SELECT doc_id AS k, lang, text AS content, CAST(floor(doc_id / 3) AS BIGINT) AS batch, row_number() OVER (PARTITION BY floor(doc_id / 3) ORDER BY md5('article' || doc_id), doc_id) AS nth FROM documents) WHERE nth <= 2"""
+
+
+@query(_verdict_sql(ARTICLE_PICKED, "sector_id", {"sector_id": "CASE WHEN k % 31 <> 0 THEN CASE lang WHEN 'en' THEN 2 WHEN 'de' THEN 5 ELSE 4 END END"} | _plain_sql, "k % 29 <> 0", "m.id", "k % 41 <> 0", article=True))
+def q_validate_articles(spark, sf):
+    """Verdicts on batches of three articles, two of each labelled anew; those without a title can't be."""
+    k = F.col("doc_id")
+    worker = _worker(k % 29 != 0, "sector_id", F.when(k % 31 != 0, F.when(F.col("lang") == "en", 2).when(F.col("lang") == "de", 5).otherwise(4)))
+    title = F.when(k % 41 != 0, F.concat(F.lit("Doc "), k.cast("string")))
+    a = I.table(spark, sf, "documents").select(F.floor(k / 3).cast("long").alias("batch"), "doc_id", title.alias("title"), F.lit(None).cast("string").alias("summary"), F.col("text").alias("content"), worker.alias("worker"))
+    return _verdict_rows(validation.recomputed_articles(a, 2, "article", I.FIXTURE, I.FIXTURE[-1], key="doc_id"))
+
+
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = I.table(spark, sf, "events").schema
     key = "spark.sql.streaming.stateStore.providerClass"  # keyed state needs this store
@@ -688,7 +789,7 @@ def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")  # a pattern, as the table may be one file
 
 
-@query()
+@query(f"""{R} SELECT epoch, hotkey, amount FROM r WHERE (epoch + 1) * {1000 * epochs.SECONDS} <= (SELECT max(epoch_ms(ts)) FROM e WHERE kind = 'reward') - {2000 * epochs.SECONDS}""")
 def q_stream_epoch(spark, sf):
     """Rewards by epoch as a stream settles them: all but the last epochs, which the watermark holds back."""
     e = _events_stream(spark, sf).where("event_type IN ('purchase', 'click')")
@@ -707,6 +808,32 @@ def q_stream_dedup(spark, sf):
     return sink.drained(processors.with_state(rows, "sender", processors.SequenceProcessor()), "stream-dedup").select("sender", "arrival", "seq", "reason")
 
 
+@query(f"{R} SELECT * FROM r WHERE epoch IN (SELECT DISTINCT epoch FROM r ORDER BY epoch DESC LIMIT {ledger.KEEP_EPOCHS})")
+def q_stream_late(spark, sf):
+    """The newest epochs of a ledger into which rewards landed in a mixed order, a file to a batch; as q_epoch_retention."""
+    e = I.events(spark, sf).where("kind = 'reward'").select(F.col("ts").alias("at"), "hotkey", F.lit(1).cast("long").alias("amount"), F.pmod(F.xxhash64("event_id"), F.lit(6)).alias("file"))
+    folder = shared_folder(spark, "late-rows")
+    e.repartition(6, "file").drop("file").write.parquet(f"{folder}/in")
+    rows = spark.readStream.schema(e.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    table = VersionedTable(spark, f"{folder}/ledger", epochs.LEDGER)
+    epochs.into_ledger(rows, table, "rewards", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.read()
+
+
+@query(f"""{LE}, s AS (SELECT *, max(CASE WHEN event IN ('add', 'process', 'done', 'reset') THEN seq END) OVER (PARTITION BY item_id) AS turned FROM x),
+z AS (SELECT item_id, coalesce(max(CASE event WHEN 'process' THEN 'Processing' WHEN 'done' THEN 'Processed' ELSE 'Unprocessed' END) FILTER (WHERE seq = turned), 'Unprocessed') AS status, arg_max(hotkey, seq) FILTER (WHERE event = 'process') AS hotkey,
+  arg_max(epoch_ms("at"), seq) FILTER (WHERE seq >= turned AND event IN ('process', 'result')) AS clock, max(CASE WHEN event = 'done' THEN 1 ELSE 0 END) AS reward FROM s GROUP BY item_id),
+late AS (SELECT *, status = 'Processing' AND (SELECT max(epoch_ms("at")) FROM x) - 3600000 - clock > 300000 AS late FROM z)
+  SELECT item_id, CASE WHEN late THEN 'Unprocessed' ELSE status END AS status, hotkey, reward, CASE WHEN late THEN 1 ELSE 0 END AS penalty FROM late""")
+def q_stream_lifecycle(spark, sf):
+    """Items as keyed state over a stream leaves them once timers have reset what was due at the watermark, as current() and requeued() do."""
+    e = _events_stream(spark, sf)
+    rows = _as_item_events(e.withColumn("ts", F.col("ts").cast("timestamp")))
+    out = sink.drained(processors.with_state(rows, "item_id", processors.LifecycleProcessor(event_time=True)), "stream-lifecycle")
+    last = lambda c: F.max_by(c, "version").alias(c)
+    return out.groupBy("item_id").agg(last("status"), last("hotkey"), F.max("reward").alias("reward"), F.max("penalty").alias("penalty"))
+
+
 @query(_match_sql(I.FIXTURE, I.FIXTURE[-1], "(SELECT doc_id, 'Doc ' || doc_id || chr(10) || chr(10) || substr(text, 1, 3000) AS text FROM documents)") + f"""
 , v AS (SELECT m.id, 0.5 * CASE WHEN m.id <> 9 THEN 1 ELSE 0 END + 0.4 * (0.6 * 0.5 + 0.4) AS score FROM matched m)
 SELECT id AS label, count(*) AS n, round(avg(score), 6) AS mean_score FROM v GROUP BY id""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import version_parts
 from ..operators.ledger import EPOCH_BLOCKS
 from ..schemas import ARTICLE, CHAT_MESSAGE, POST, camel, with_defaults, with_names
+from ..tables import VersionedTable
 
 # Rows of a lease and of a listing.
 LEASE, LISTING = 24, 100
@@ -42,17 +42,29 @@ def listing(rows: DataFrame, hotkey: str | None = None, limit: int = LISTING) ->
 
 def state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stored table, or an empty one before the first save."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return VersionedTable(spark, path, schema).read()
 
 
 def save_state(df: DataFrame, path: str) -> None:
-    """Replace a stored table; df may have been read from another version of it only."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a stored table, which df may have been read from; readers see the old one or the new one."""
+    VersionedTable(df.sparkSession, path, df.schema).replace(df)
+
+
+def ledger_from_json(spark: SparkSession, path: str, field: str = "epoch_rewards") -> DataFrame:
+    """(epoch, hotkey, amount) of state files that hold them as an object by epoch and hotkey; keys are integers again."""
+    kind = T.MapType(T.StringType(), T.MapType(T.StringType(), T.LongType()))
+    rows = spark.read.option("multiLine", True).schema(T.StructType([T.StructField(field, kind)])).json(path)
+    epochs = rows.select(F.explode(field).alias("epoch", "amounts")).where(F.col("epoch").try_cast("long").isNotNull())
+    return epochs.select(F.col("epoch").cast("long").alias("epoch"), F.explode("amounts").alias("hotkey", "amount"))
+
+
+def items_from_json(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """Work items of state files that hold them as an object by item id, with start_time in seconds."""
+    item = T.StructType([*[T.StructField(n, T.StringType()) for n in ("status", "hotkey")], T.StructField("start_time", T.DoubleType()), *[T.StructField(n, T.BooleanType()) for n in ("submitted", "rewarded")]])
+    rows = spark.read.option("multiLine", True).schema(T.StructType([T.StructField(field, T.MapType(T.StringType(), item))])).json(path)
+    rows = rows.select(F.explode(field).alias("item_id", "x"))
+    flag = lambda n: F.coalesce(F.col(f"x.{n}"), F.lit(False)).alias(n)
+    return rows.select("item_id", "x.status", F.timestamp_seconds("x.start_time").alias("start_time"), "x.hotkey", flag("submitted"), flag("rewarded"))
 
 
 def settings(defaults: Mapping[str, str], api: Mapping[str, str | None], overrides: Mapping[str, str | None], spark: SparkSession) -> DataFrame:

@@ -1,25 +1,27 @@
-"""Running a stream to its present end."""
+"""Running a stream to its present end, or on and on."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
-from pyspark.sql import DataFrame, SparkSession
+from ..tables import shared_folder
 
+#: Fixed value: seconds between polls.
+POLL_SECONDS = 10
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one where that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="signalmill-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/signalmill/{name}-{uuid.uuid4().hex}"
+
+def _writer(stream: DataFrame, folder: str):
+    return stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """All that the stream gives for what is there now, written exactly once and read back."""
     folder = shared_folder(stream.sparkSession, name)
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
-    writer.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    _writer(stream, folder).trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def started(stream: DataFrame, folder: str, seconds: float = POLL_SECONDS) -> StreamingQuery:
+    """A query that looks for new rows every so many seconds, until it is stopped; its rows are under `folder`/rows."""
+    return _writer(stream, folder).trigger(processingTime=f"{seconds} seconds").start(f"{folder}/rows")

@@ -58,10 +58,10 @@ def test_sequences(spark, tmp_path):
 def test_lifecycle_and_cooldown(spark, tmp_path):
     t = datetime(2024, 1, 1)
     events = [("a", 1, "process", "w"), ("a", 2, "done", None), ("a", 3, "done", None), ("b", 1, "process", "w"), ("b", 2, "reset", None), ("c", 1, "process", "x")]
-    df = spark.createDataFrame(events, "item_id string, seq long, event string, hotkey string")
+    df = spark.createDataFrame([(*e, t) for e in events], "item_id string, seq long, event string, hotkey string, at timestamp")
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    got = {r.item_id: (r.status, r.reward) for r in run(spark, processors.with_state(stream, "item_id", processors.LifecycleProcessor()), tmp_path / "a")}
+    got = {r.item_id: (r.status, r.reward) for r in run(spark, processors.with_state(stream, "item_id", processors.LifecycleProcessor(event_time=True)), tmp_path / "a")}
     assert got == {"a": ("Processed", 1), "b": ("Unprocessed", 0), "c": ("Processing", 0)}
     runs = [("f", t + timedelta(seconds=i), i, i == 3) for i in range(15)] + [("g", t, 99, True)]
     df = spark.createDataFrame(runs, "hotkey string, at timestamp, event_id long, ok boolean")
