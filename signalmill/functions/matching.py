@@ -171,28 +171,23 @@ def postings(registry: DataFrame) -> DataFrame:
     return rows.withColumn("anchor", chosen).withColumn("pattern", F.when(~is_tag & (F.col("anchor") != key) | ~is_tag & (F.col("mode") == GAP), pattern))
 
 
-def _cuts(mode: str, n: int, runs: Column) -> Column:
-    """n characters of each run that has as many: at its beginning, its end, or anywhere."""
-    long = F.filter(runs, lambda w: F.length(w) >= n)
-    if mode == HEAD:
-        return F.transform(long, lambda w: F.left(w, F.lit(n)))
-    if mode == TAIL:
-        return F.transform(long, lambda w: F.right(w, F.lit(n)))
-    return F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))))
+def _cuts(mode: str, n: int) -> str:
+    """A pattern whose first group takes n characters of each word's beginning or end, or of any place inside words or between them."""
+    return {HEAD: f"(?<![{WORD}])([{WORD}]{{{n}}})", TAIL: f"([{WORD}]{{{n}}})(?![{WORD}])", INNER: f"(?=([{WORD}]{{{n}}}))", GAP: f"(?=([^{WORD}]{{{n}}}))"}[mode]
+
+
+def _marked(mode: str) -> str:
+    """What is put before an anchor, so that one string tells mode and anchor; no word begins so, and a word of the lower case is itself."""
+    return "" if mode == WHOLE else f"\x01{mode} "
 
 
 def _keys(own: Column, lower: Column, shapes: list[tuple[str, int]]) -> Column:
-    """Distinct struct<mode, anchor> of a text, of the modes and lengths that postings have."""
-    keyed = lambda mode, found: F.transform(found, lambda w: F.struct(F.lit(mode).alias("mode"), w.alias("anchor")))
-    modes = {m for m, _ in shapes}
-    parts = [keyed(WHOLE, F.array_distinct(words(lower)))]
-    if CASED in modes:
-        parts.append(keyed(CASED, F.array_distinct(words(own))))
+    """Distinct marked anchors of a text, of the modes and lengths that postings have."""
+    marked = lambda mode, found: F.transform(F.array_distinct(found), lambda w: F.concat(F.lit(_marked(mode)), w))
+    parts = [F.array_distinct(words(lower))]
     for mode, n in shapes:
-        if mode in (WHOLE, CASED):
-            continue
-        runs = F.regexp_extract_all(lower, F.lit(f"[^{WORD}]{{{n},}}"), F.lit(0)) if mode == GAP else words(lower)
-        parts.append(keyed(mode, F.array_distinct(_cuts(mode, n, F.array_distinct(runs)))))
+        if mode != WHOLE:
+            parts.append(marked(mode, words(own) if mode == CASED else F.regexp_extract_all(lower, F.lit(_cuts(mode, n)), F.lit(1))))
     return F.concat(*parts)
 
 
@@ -203,25 +198,27 @@ def all_matches(texts: DataFrame, registry: DataFrame, *, key: str = "id", text:
     up to `broadcast_bytes` are broadcast, and no text is shuffled; beyond that anchors are joined by key, and texts
     only with what was found.  Rows are told apart by `key`, so rows of one key match as one; a null or empty text matches nothing.
     """
-    found = postings(registry).withColumn("__p", F.struct("id", "symbol", "kind", "pos", "name", "key", "pattern")).select("mode", "anchor", "__p")
-    size = found.agg(F.coalesce(F.sum(F.octet_length("anchor") + 2 * F.octet_length("__p.key") + F.octet_length("__p.name") + F.octet_length("__p.symbol") + 64), F.lit(0)).alias("n")).first().n
-    shapes = sorted((r["mode"], r["n"]) for r in found.select("mode", F.when(F.col("mode").isin(WHOLE, CASED), 0).otherwise(F.length("anchor")).alias("n")).distinct().collect())
+    listed = postings(registry)
+    marks = F.create_map(*[F.lit(x) for m in (WHOLE, CASED, HEAD, TAIL, INNER, GAP) for x in (m, _marked(m))])
+    found = listed.select(F.concat(marks[F.col("mode")], "anchor").alias("__anchor"), F.struct("id", "symbol", "kind", "pos", "name", "key", "pattern").alias("__p"))
+    size = found.agg(F.coalesce(F.sum(F.octet_length("__anchor") + 2 * F.octet_length("__p.key") + F.octet_length("__p.name") + F.octet_length("__p.symbol") + 64), F.lit(0)).alias("n")).first().n
+    shapes = sorted((r["mode"], r["n"]) for r in listed.select("mode", F.when(F.col("mode").isin(WHOLE, CASED), 0).otherwise(F.length("anchor")).alias("n")).distinct().collect())
     own = F.coalesce(F.col(text), F.lit(""))
     rows = texts.select(F.col(key).alias("__key"), own.alias("__own"), F.lower(own).alias("__lower"))
     where = F.when(F.col("__p.kind") == "cased", F.col("__own")).otherwise(F.col("__lower"))
     stands = F.col("__p.pattern").isNull() & (F.col("__p.kind") != "tag") | F.contains(where, F.col("__p.key")) & (F.col("__p.pattern").isNull() | F.regexp_like(where, F.col("__p.pattern")))
-    words_of = rows.select("*", F.explode(_keys(F.col("__own"), F.col("__lower"), shapes)).alias("__k")).select("__key", "__own", "__lower", "__k.mode", "__k.anchor")
+    words_of = rows.select("*", F.explode(_keys(F.col("__own"), F.col("__lower"), shapes)).alias("__anchor"))
     if size <= broadcast_bytes:
-        met = words_of.join(F.broadcast(found), ["mode", "anchor"]).where(stands).select("__key", "__p")
+        met = words_of.join(F.broadcast(found), "__anchor").where(stands).select("__key", "__p")
     else:
         sure = F.col("__p.pattern").isNull() & (F.col("__p.kind") != "tag")
-        near = words_of.select("__key", "mode", "anchor").join(found, ["mode", "anchor"]).select("__key", "__p")
+        near = words_of.select("__key", "__anchor").join(found, "__anchor").select("__key", "__p")
         asked = near.where(~sure).groupBy("__key").agg(F.collect_set("__p").alias("__ps")).withColumnRenamed("__key", "__asked")
         again = rows.join(asked, F.col("__key").eqNullSafe(F.col("__asked"))).select("__key", "__own", "__lower", F.explode("__ps").alias("__p"))
         met = near.where(sure).unionByName(again.where(stands).select("__key", "__p"))
     tagged = F.bool_or(F.col("__p.kind") == "tag")
     order = F.when(F.col("__p.kind") == "cased", 0).otherwise(1)
-    listed = lambda test: F.transform(F.array_sort(F.collect_set(F.when(test, F.struct(order.alias("o"), "__p.pos", "__p.name")))), lambda x: x["name"])
-    by_entry = met.groupBy("__key", F.col("__p.id").alias("id"), F.col("__p.symbol").alias("symbol")).agg(tagged.alias("tagged"), listed(F.col("__p.kind") == "tag").alias("tags"), listed(F.col("__p.kind") != "tag").alias("names"))
+    told = lambda test: F.transform(F.array_sort(F.collect_set(F.when(test, F.struct(order.alias("o"), "__p.pos", "__p.name")))), lambda x: x["name"])
+    by_entry = met.groupBy("__key", F.col("__p.id").alias("id"), F.col("__p.symbol").alias("symbol")).agg(tagged.alias("tagged"), told(F.col("__p.kind") == "tag").alias("tags"), told(F.col("__p.kind") != "tag").alias("names"))
     evidence = F.when(F.col("tagged"), F.col("tags")).otherwise(F.col("names"))
     return by_entry.select(F.col("__key").alias(key if key not in ("id", "symbol") else f"text_{key}"), "id", "symbol", _score(F.col("tagged"), evidence).alias("score"), evidence.alias("evidence"))
