@@ -17,7 +17,7 @@ from ..operators import annotate, consensus, dispatch, ledger, lifecycle, valida
 from ..sources import readers
 from ..session import SETTINGS
 from ..sources.registries import NO_ASSET, OTHER_SECTOR, SECTORS, SOURCE_CREDIBILITY, Entry, as_table
-from ..streaming import epochs, processors, sink
+from ..streaming import epochs, ingest, processors, sink
 from ..tables import VersionedTable, shared_folder
 from . import inputs as I
 
@@ -834,6 +834,24 @@ def q_stream_lifecycle(spark, sf):
     return out.groupBy("item_id").agg(last("status"), last("hotkey"), F.max("reward").alias("reward"), F.max("penalty").alias("penalty"))
 
 
+@query(f"""{E} SELECT CASE WHEN event_id % 50 = 0 THEN 'no object' WHEN event_type = 'view' THEN 'unknown kind' WHEN event_id % 9 = 0 THEN 'no sender' WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'bad body' ELSE '' END AS problem,
+  CASE WHEN event_id % 50 = 0 OR event_type = 'view' OR event_id % 9 = 0 OR (event_type = 'click' AND event_id % 4 = 0) THEN 'refused' WHEN event_type = 'signup' THEN 'is_alive' WHEN event_type = 'error' THEN 'penalties' ELSE 'rewards' END AS kind, count(*) AS n FROM e GROUP BY ALL""")
+def q_push_ingest(spark, sf):
+    """Events as pushed envelopes of several kinds, some of them broken, by what a stream made of them."""
+    e = I.events(spark, sf)
+    k, kind = F.col("event_id"), F.col("event_type")
+    seq = F.when((kind == "click") & (k % 4 == 0), None).otherwise(k)
+    points = F.struct("epoch", seq.alias("seq"), F.create_map(F.col("user_id").cast("string"), F.lit(1)).alias("uid_values"))
+    body = F.when(kind == "signup", F.lit('{"is_alive":true}')).otherwise(F.to_json(points))
+    said = F.when(kind == "signup", "is_alive").when(kind == "view", "gossip").when(kind == "error", "penalties").otherwise("rewards")
+    sender = F.when(k % 9 != 0, F.col("hotkey")).otherwise("")
+    line = F.concat(F.lit('{"kind":"'), said, F.lit('","sender":"'), sender, F.lit('","body":'), body, F.when(k % 50 == 0, "").otherwise("}"))
+    folder = shared_folder(spark, "pushed")
+    e.select(line.alias("value")).write.text(f"{folder}/in")
+    ingest.pushed(spark.readStream.text(f"{folder}/in"), folder).trigger(availableNow=True).start().awaitTermination()
+    return ingest.received(spark, folder).groupBy(F.coalesce("problem", F.lit("")).alias("problem"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_match_sql(I.FIXTURE, I.FIXTURE[-1], "(SELECT doc_id, 'Doc ' || doc_id || chr(10) || chr(10) || substr(text, 1, 3000) AS text FROM documents)") + f"""
 , v AS (SELECT m.id, 0.5 * CASE WHEN m.id <> 9 THEN 1 ELSE 0 END + 0.4 * (0.6 * 0.5 + 0.4) AS score FROM matched m)
 SELECT id AS label, count(*) AS n, round(avg(score), 6) AS mean_score FROM v GROUP BY id""")
