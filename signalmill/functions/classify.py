@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.registries import ARTICLE_CONTENT_TYPES, CONTENT_TYPES, IMPACTS, MARKET_ANALYSES, SENTIMENTS, TECHNICAL_QUALITIES, Entry
+from ..tables import VersionedTable, materialised
 from .matching import inherited, match, once
 from .scoring import sentiment_value, tokens
 from .text import article_text, conversation_text
@@ -126,6 +127,31 @@ def model_labels(df: DataFrame, text: str, make: Callable[[], Callable[[pd.Serie
     return df.join(asked, F.col(text) == F.col("__text"), "left").drop("__text")
 
 
+#: A remembered label: the text's SHA-256, the model's version, when it was asked, and what it said.
+MEMO = T.StructType([T.StructField("text_hash", T.StringType()), T.StructField("model", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("labels", LABELS)])
+# Fixed value: seconds that a label is remembered.
+MEMO_SECONDS = 300
+
+
+def remembered_labels(df: DataFrame, text: str, make: Callable[[], Callable[[pd.Series], pd.DataFrame]], memo: VersionedTable, model: str, as_of: Column, *, seconds: int = MEMO_SECONDS, article: bool = False, out: str = "labels") -> DataFrame:
+    """df with labels as by :func:`model_labels`, but texts that this version of the model was asked for in the last `seconds` are not asked again, whichever run asked.
+
+    Labels outside their domains are failures: they come out as null and aren't remembered.  The memo (of schema MEMO) is replaced by
+    one without expired entries; it holds a hash for each text, so its size follows the texts of that time.
+    """
+    hashed = df.withColumn("__hash", F.sha2(F.col(text), 256))
+    # read once: a memo that is replaced by another run meanwhile would make other texts unseen
+    known = materialised(memo.read().where(F.unix_micros(as_of) - F.unix_micros("at") < seconds * 1_000_000), "memo")
+    mine = known.where(F.col("model") == model).select(F.col("text_hash").alias("__hash"), F.col("labels").alias("__known"))
+    unseen = hashed.where("__hash is not null").dropDuplicates(["__hash"]).select("__hash", F.col(text).alias("__asked")).join(mine, "__hash", "left_anti")
+    # written before it is judged, or the model would be asked again for each field that is looked at
+    said = materialised(model_labels(unseen, "__asked", make, "__known").select("__hash", "__known"), "labels")
+    new = said.withColumn("__known", valid_labels(F.col("__known"), article)).where("__known is not null")
+    rows = new.select(F.col("__hash").alias("text_hash"), F.lit(model).alias("model"), as_of.cast("timestamp").alias("at"), F.col("__known").alias("labels"))
+    memo.replace(known.unionByName(rows))
+    return hashed.join(mine.unionByName(new), "__hash", "left").withColumnRenamed("__known", out).drop("__hash")
+
+
 def classify_post(text: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
     """struct<id, symbol, confidence, evidence, and DIMENSIONS>; null for a text without characters."""
     return F.when(F.length(text) > 0, _merged(match(text, registry, default), rule_labels(text)))
