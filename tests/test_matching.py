@@ -1,5 +1,6 @@
 """All matches of a registry table against patterns tried one by one."""
 
+import functools
 import random
 import re
 
@@ -11,10 +12,15 @@ from signalmill.operators import annotate
 from signalmill.sources.registries import Entry, as_table
 
 
-def stands(identifier, text):
+@functools.cache
+def pattern(identifier):
     left = r"(?<!\w)" if re.match(r"\w", identifier[0]) else r"(?<=\w)"
     right = r"(?!\w)" if re.match(r"\w", identifier[-1]) else r"(?=\w)"
-    return re.search(left + re.escape(identifier) + right, text) is not None
+    return re.compile(left + re.escape(identifier) + right)
+
+
+def stands(identifier, text):
+    return pattern(identifier).search(text) is not None
 
 
 def brute(registry, text):
