@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -9,6 +11,8 @@ from .storage import trimmed, worker_state
 
 #: Bytes of text that are hashed at once; a longer text is a batch of its own, hashed in pieces of this size.
 BATCH_BYTES = 1 << 18
+#: Words of more bytes are told by a digest: sums modulo 2**64 are equal for some pairs of long words, whatever the base.
+LONG_WORD = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,7 +31,7 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 class TextHasher:
-    """Polynomial hashes modulo 2**64 of byte spans, by prefix sums."""
+    """Polynomial hashes modulo 2**64 of byte spans, by prefix sums; digests of long words."""
 
     BASE = 0xD6E8FEB86659FD93
     INVERSE = pow(BASE, -1, 1 << 64)
@@ -86,7 +90,10 @@ class TextHasher:
         before[0], before[1:] = True, gaps[:-1]
         starts, ends = np.flatnonzero(before & ~gaps), np.flatnonzero(gaps & ~before)
         limits = np.cumsum([0] + [len(t) + 1 for t in texts])
-        return self.spans(data, starts, ends), np.searchsorted(starts, limits)
+        hashes = self.spans(data, starts, ends)
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            hashes[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return hashes, np.searchsorted(starts, limits)
 
 
 def hasher() -> TextHasher:

@@ -17,8 +17,8 @@ division, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source, after all
 others; documents of size 0 take 0; rows with equal doc_id are documents of
-their own (equal rows share a place in the order, in any sequence); a text counts
-whole, whatever its length; extra columns come along, and names that begin with
+their own, whose texts spread them over the rings (equal rows share a place in the
+order, in any sequence); a text counts whole, whatever its length; extra columns come along, and names that begin with
 __mix_ are the operator's; an empty table gives an empty result.
 """
 
@@ -43,6 +43,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts under one doc_id apart on a ring."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def _big(c: Column) -> Column:
     return c.cast("decimal(19,0)")
 
@@ -99,16 +104,16 @@ def _seeded(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])), 1, 13), 16, 10).cast("bigint")
 
 
-def _on_rings(documents: DataFrame, sources: DataFrame, shard_words: int) -> DataFrame:
+def _on_rings(documents: DataFrame, sources: DataFrame, key: Column, shard_words: int) -> DataFrame:
     """documents with the number of their source and shard, and their place in the seeded order."""
     side = sources.select(F.col("source").alias("__mix_source"), F.col("k").alias("__mix_k"), F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).alias("__mix_shards"))
     out = documents.join(smaller(side), F.col("source").eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
-    out = out.withColumn("__mix_order", _seeded(F.lit("order"), F.col("doc_id")))
+    out = out.withColumn("__mix_order", _seeded(F.lit("order"), F.col("doc_id"), key))
     return out.withColumn("__mix_shard", F.pmod("__mix_order", "__mix_shards")).drop("__mix_shards")
 
 
 def quotas(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Of (doc_id, source, size): the sources with target and seats, and the shards with quota.
+    """Of (doc_id, text_key, source, size): the sources with target and seats, and the shards with quota.
 
     sources: k, source, source_size, target, seats. shards: __mix_k, __mix_shard,
     __mix_ring (its words), __mix_quota (words to take), __mix_start (on the ring).
@@ -116,7 +121,7 @@ def quotas(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_repeats
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_repeats)
     sources = sources.withColumn("blocks", F.floor(F.sum("source_size").over(W.partitionBy()) / block_words))
     sources = written(apportion(sources, [], "target", "blocks", ["k"], "seats"), "mix-sources")
-    shards = _on_rings(sized, sources, shard_words).groupBy("__mix_k", "__mix_shard").agg(F.sum("size").alias("ring"))
+    shards = _on_rings(sized, sources, F.col("text_key"), shard_words).groupBy("__mix_k", "__mix_shard").agg(F.sum("size").alias("ring"))
     seats = sources.select(F.col("k").alias("__mix_k"), "seats")
     shards = apportion(shards.join(smaller(seats), "__mix_k"), ["__mix_k"], "ring", "seats", ["__mix_shard"], "blocks")
     most = F.floor(F.col("ring") * most_repeats / block_words)
@@ -125,13 +130,14 @@ def quotas(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_repeats
     return sources, written(shards, "mix-shards")
 
 
-def taken(documents: DataFrame, sources: DataFrame, shards: DataFrame, size: Column, *, shard_words: int = SHARD_WORDS) -> DataFrame:
+def taken(documents: DataFrame, sources: DataFrame, shards: DataFrame, size: Column, key: Column, *, shard_words: int = SHARD_WORDS) -> DataFrame:
     """All columns of documents and size, source_size, target, taken, copies, each after __mix_.
 
     taken counts the words of a document in the chosen blocks, repeats included;
-    copies counts how often its first word is chosen.  shard_words as in quotas().
+    copies counts how often its first word is chosen.  key is the text_key() of a
+    document and shard_words that of quotas().
     """
-    out = _on_rings(documents.withColumn("__mix_size", size), sources, shard_words)
+    out = _on_rings(documents.withColumn("__mix_size", size), sources, key, shard_words)
     ring = W.partitionBy("__mix_k", "__mix_shard").orderBy("__mix_order", "doc_id", "__mix_size").rowsBetween(W.unboundedPreceding, -1)
     out = out.withColumn("__mix_a", F.coalesce(F.sum("__mix_size").over(ring), F.lit(0)))
     out = out.join(smaller(shards), ["__mix_k", "__mix_shard"])
@@ -151,7 +157,7 @@ def taken(documents: DataFrame, sources: DataFrame, shards: DataFrame, size: Col
 #: The result of op3 in DuckDB SQL, with the parameters above.
 ORACLE_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), totals AS (
   SELECT source, CAST(sum(size) AS HUGEINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -179,7 +185,7 @@ WITH sized AS (
     SELECT *, row_number() OVER (ORDER BY quotient DESC, k, seat) AS place FROM quotients) GROUP BY k
 ), placed AS (
   SELECT d.doc_id, d.size, t.k, t.source_size, t.target, s.seats,
-    CAST('0x' || substr(md5('{SEED}:order:' || coalesce(CAST(d.doc_id AS VARCHAR), '-')), 1, 13) AS BIGINT) AS place,
+    CAST('0x' || substr(md5('{SEED}:order:' || coalesce(CAST(d.doc_id AS VARCHAR), '-') || ':' || d.text_key), 1, 13) AS BIGINT) AS place,
     greatest(CAST(ceil(CAST(t.source_size AS DOUBLE) / {SHARD_WORDS}) AS BIGINT), 1) AS shards
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source JOIN seats s ON s.k = t.k
 ), ringed AS (

@@ -17,7 +17,8 @@ spanning forest, and at last in crowds, in blocks, those outside the largest com
 against all.
 Regions that a boundary of the sorted table cuts count as crowds, whatever their size.
 
-Links come from full sets of 64-bit shingle hashes; candidates are missed with
+Links come from full sets of 64-bit shingle hashes, in which words of more than 64 bytes
+count by a digest; candidates are missed with
 the probability that a pair shares no prefix in any tree (for a similarity of
 0.85, 16 trees and 3 values: 3e-7).  Sets are one node if their 128-bit digests agree.
 
@@ -313,15 +314,14 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     share = percent / 100
     least_equal = int(SIGNATURE * (share - 4 * (share * (1 - share) / SIGNATURE) ** 0.5))
     spark = documents.sparkSession
-    text_hash = [F.xxhash64("text").alias("text_hash")] if keepers else []
-    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash") if keepers else None
-    first_of = lambda c: [F.min(c).alias("keeper")] if keepers else []
+    text_hash = F.xxhash64("text").alias("text_hash")
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")
     extra = ["keeper"] if keepers else []
-    sketches = documents.select("doc_id", *text_hash, sketcher(width)("text").alias("k")).select("doc_id", *(["text_hash"] if keepers else []), "k.*")
+    sketches = documents.select("doc_id", text_hash, sketcher(width)("text").alias("k")).select("doc_id", "text_hash", "k.*")
     sketches = written(sketches, "sketches")
 
     def grouped(sketches: DataFrame) -> DataFrame:
-        out = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("signature").alias("signature"), F.min("check").alias("check"), F.max("check").alias("other"), *first_of(place))
+        out = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("signature").alias("signature"), F.min("check").alias("check"), F.max("check").alias("other"), F.min(place).alias("keeper"))
         return written(out, "nodes")
 
     nodes = grouped(sketches)
@@ -348,10 +348,10 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
     first = written(_ordered(candidates(None).unionByName(stars)), "pairs", spread=True)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        homes = wanted.join(nodes.select("node", "check", "least"), "node")
-        texts = documents.select(F.col("doc_id").alias("home"), "text")
-        # a doc_id may have several texts, of which only one is this node's
-        own = texts.join(smaller(written(homes, "homes")), F.col("least").eqNullSafe(F.col("home"))).select("node", "check", "text")
+        homes = wanted.join(nodes.select("node", "check", "keeper"), "node").select("node", "check", F.col("keeper.doc_id").alias("home_id"), F.col("keeper.text_hash").alias("home_text"))
+        texts = documents.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+        # a doc_id may have any number of texts, of which only one is this node's; other texts of that hash are told by their check
+        own = texts.join(smaller(written(homes, "homes")), F.col("home_id").eqNullSafe(F.col("id")) & (F.col("home_text") == F.col("text_hash"))).select("node", "check", "text")
         return written(own.mapInArrow(_own_sets(width), "node bigint, set binary").dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def similar_components(documents: DataFrame, *, width: int = 5, percent: int = 8
         sets = sets_of(members.select("node").distinct()).join(nodes.select("node", "signature"), "node")
         roots = components(known().unionByName(_linked_in_crowds(members, sizes, sets, least_equal, percent)))
     rooted = nodes.select("node", "least", *extra).join(roots, "node", "left").select("node", "least", *extra, F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), *first_of("keeper"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), *[F.min(c).alias(c) for c in extra])
     of_node = rooted.select("node", "root").join(named, "root").select("node", "component_id", *extra)
     kept = [F.col("text_hash"), (F.col("node").isNull() | F.col("doc_id").isNull() | F.col("keeper").eqNullSafe(place)).alias("kept")] if keepers else []
     out = sketches.join(of_node, "node", "left")

@@ -31,9 +31,9 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    documents = _table(spark, sf_dir, "documents").select("doc_id", mixing.text_key(F.col("text")).alias("text_key"), "source", mixing.word_count(F.col("text")).alias("size"))
     sized = written(documents, "mix-sizes")
-    out = mixing.taken(sized, *mixing.quotas(sized), F.col("size"))
+    out = mixing.taken(sized, *mixing.quotas(sized), F.col("size"), F.col("text_key"))
     return out.select("doc_id", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_taken").alias("taken"))
 
 

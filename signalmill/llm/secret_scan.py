@@ -6,7 +6,7 @@ only pairs that the ledger lacks, once per blob however many paths or versions
 carry it, and findings are joined back to all of them.
 
 Defined results: a null text is the empty blob, without findings; equal rows
-each get their findings; several texts under one doc_id are versions, each with
+each get their findings; of kinds that start together the order is that of KINDS; several texts under one doc_id are versions, each with
 its own; a text is scanned whole, whatever its length; extra columns come along, and
 names that begin with __secret_ are the operator's; an empty table gives an empty
 result and leaves an empty ledger.
@@ -14,7 +14,6 @@ result and leaves an empty ledger.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
@@ -87,16 +86,20 @@ class BlobLedger:
     def __init__(self, spark: SparkSession, path: str, rule_version: str = RULE_VERSION):
         self.spark, self.path, self.rule_version = spark, path, rule_version
 
-    def findings(self) -> DataFrame | None:
-        """One row per blob scanned under this rule version; None before the first scan."""
+    def _rows(self) -> DataFrame | None:
         try:
             rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+        return rows.where(F.col("rule_version") == self.rule_version)
+
+    def findings(self) -> DataFrame | None:
+        """One row per blob scanned under this rule version; None before the first scan."""
+        rows = self._rows()
         # a scan that is run again after a lost commit may have appended the same blobs twice
-        return rows.where(F.col("rule_version") == self.rule_version).dropDuplicates(["blob_id"])
+        return None if rows is None else rows.dropDuplicates(["blob_id"])
 
     def scan(self, versions: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Scan the blobs of these versions that the ledger lacks, each once.
@@ -107,7 +110,7 @@ class BlobLedger:
         rows = versions.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("blob_id", blob_id(F.col("text")))
         # a text without any version key still needs a row to be read from
         first = rows.groupBy("blob_id").agg(F.min("key").alias("key"))
-        if (known := self.findings()) is not None:
+        if (known := self._rows()) is not None:  # what is there twice bars a blob no more than once
             first = first.join(known.select("blob_id"), "blob_id", "left_anti")
         keyed = rows.alias("r").join(first.alias("f"), (F.col("r.blob_id") == F.col("f.blob_id")) & F.col("r.key").eqNullSafe(F.col("f.key")), "left_semi")
         found = keyed.select("blob_id", F.lit(self.rule_version).alias("rule_version"), scan_text("text").alias("spans"))
@@ -116,16 +119,11 @@ class BlobLedger:
     def join(self, versions: DataFrame, text: str = "text", prefix: str = "__secret_") -> DataFrame:
         """Every row of versions with, under prefix, the blob and spans of its text; blobs without findings stay out of the join."""
         blob, spans = f"{prefix}blob", f"{prefix}spans"
-        found = self.findings().where(F.size("spans") > 0).select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
-        out = versions.withColumn(blob, blob_id(F.col(text))).join(smaller(found), blob, "left")
+        found = self._rows().where(F.size("spans") > 0).dropDuplicates(["blob_id"]).select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
+        out = versions.withColumn(blob, blob_id(F.col(text))).join(smaller(found, F.size(spans)), blob, "left")
         return out.withColumn(spans, F.coalesce(spans, F.array().cast(found.schema[spans].dataType)))
 
 
 def span_list(spans: Column) -> Column:
     """kind:start:end joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def base_digest(text: str) -> str:
-    """The digest of the base spans of one text, for tests and spot checks."""
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in find(text) if k in BASE).encode()).hexdigest()

@@ -10,7 +10,7 @@ import types
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,9 +59,11 @@ def written(df: DataFrame, name: str, *, spread: bool = False) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def smaller(table: DataFrame) -> DataFrame:
-    """The table, to be broadcast if its counted rows are few enough."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+def smaller(table: DataFrame, items: Column | None = None) -> DataFrame:
+    """The table, to be broadcast if its counted rows are few enough; of tables with arrays, items of a row count as rows do."""
+    weight = F.lit(1) if items is None else 1 + F.greatest(items, F.lit(0))
+    size = table.limit(BROADCAST_ROWS + 1).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first().n
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
 
 
 #: Rows of an Arrow batch of whole texts; Spark's own 10,000 make tens of MB with as many copies.

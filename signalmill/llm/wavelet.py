@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import os
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -296,7 +295,8 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, *, end_id: i
             yield pa.RecordBatch.from_pylist([close()], schema=manifest)
 
     manifest = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id")
+    # rows of one id, or of none, are ranges of their own by how their texts begin, which agrees with the order
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id", F.substring("text", 1, 64))
     rows.sortWithinPartitions("doc_id", "text").mapInArrow(work, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -337,7 +337,3 @@ def store(documents: DataFrame, tokenizer: str, *, end_id: int, folder: str | No
     """Write the files, by default in a fresh shared folder, and read them back."""
     spark: SparkSession = documents.sparkSession
     return read_shards(write_shards(documents, tokenizer, folder or fresh_path(spark, "token-ids"), end_id=end_id, shard_ids=shard_ids))
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)

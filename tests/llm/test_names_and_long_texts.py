@@ -25,7 +25,7 @@ def rows_of(spark):
 OPERATORS = {
     "quality": lambda s, d: quality_rules.judged(d, quality_rules.DecisionList(())),
     "lines": lambda s, d: line_dedup.deduplicated(d),
-    "mix": lambda s, d: mixing.taken(d, *mixing.quotas(d.select("doc_id", "source", F.length("text").cast("bigint").alias("size"))), F.coalesce(F.length("text"), F.lit(0)).cast("bigint")),
+    "mix": lambda s, d: mixing.taken(d, *mixing.quotas(d.select("doc_id", mixing.text_key(F.col("text")).alias("text_key"), "source", F.length("text").cast("bigint").alias("size"))), F.coalesce(F.length("text"), F.lit(0)).cast("bigint"), mixing.text_key(F.col("text"))),
     "licenses": lambda s, d: license_scan.scanned(d),
     "bpe": lambda s, d: bpe.round_trip(d, BPE),
 }
