@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the first by id and hash of the text.
 
-    Of rows with equal id and text one stays; rows without an id are not removed as near copies.
+    Of rows with equal id and text the first by all its columns as JSON stays; rows without an id are not removed as near copies.
     """
     small_batches(spark)
     found = near_dedup.similar_components(docs.select("doc_id", "text"), width=5, percent=80, keepers=True)
@@ -46,15 +46,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = docs.join(gone, (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__gone_text")), "left_anti")
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return out
-    return out.dropDuplicates(["doc_id", "text"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = out.groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return first.select("__row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by their target weights: a document goes, stays, or stands up to three times."""
     small_batches(spark)
-    size = mixing.word_count(F.col("text"))
-    sources, shards = mixing.quotas(written(docs.select("doc_id", "source", size.alias("size")), "mix-sizes"))
-    out = mixing.taken(docs, sources, shards, size).where("__mix_copies > 0")
+    size, key = mixing.word_count(F.col("text")), mixing.text_key(F.col("text"))
+    sources, shards = mixing.quotas(written(docs.select("doc_id", key.alias("text_key"), "source", size.alias("size")), "mix-sizes"))
+    out = mixing.taken(docs, sources, shards, size, key).where("__mix_copies > 0")
     copies = F.sequence(F.lit(1).cast("bigint"), F.col("__mix_copies"))
     return out.withColumn("__mix_copy", F.explode(copies)).select(*docs.columns)
 
