@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, matching, scoring, text
 from ..functions.scoring import Economy
 from ..operators import annotate, consensus, dispatch, ledger, lifecycle, validation, votes, weights
-from ..sources import readers
+from ..sources import readers, remote
 from ..session import SETTINGS
 from ..sources.registries import NO_ASSET, OTHER_SECTOR, SECTORS, SOURCE_CREDIBILITY, Entry, as_table
 from ..streaming import epochs, ingest, processors, sink
@@ -852,6 +852,26 @@ def q_push_ingest(spark, sf):
     return ingest.received(spark, folder).groupBy(F.coalesce("problem", F.lit("")).alias("problem"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""{E}, c AS (SELECT ts AS t, event_id, event_type = 'signup' AS pull, CASE WHEN event_type = 'signup' AND user_id % 7 <> 0 THEN user_id % 9 + 1 END AS said_size, CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN event_id % 50 END AS said_limit,
+  CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN CAST('0.00' || CAST(event_id % 10 AS VARCHAR) AS DOUBLE) END AS said_percent FROM e)
+SELECT event_id, CAST(coalesce(batch_size, 3) AS INTEGER) AS batch_size, CAST(coalesce(fetch_limit, 24) AS INTEGER) AS fetch_limit, coalesce(min_percent, 0.003) AS min_percent FROM (
+  SELECT event_id, pull, last_value(said_size IGNORE NULLS) OVER w AS batch_size, last_value(said_limit IGNORE NULLS) OVER w AS fetch_limit, last_value(said_percent IGNORE NULLS) OVER w AS min_percent FROM c
+  WINDOW w AS (ORDER BY t, CASE WHEN pull THEN 0 ELSE 1 END, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE NOT pull""")
+def q_settings_in_force(spark, sf):
+    """The settings in force at each event, where signups are pulls that change some of them, a few to what isn't of their type."""
+    e = I.events(spark, sf)
+    k, user = F.col("event_id"), F.col("user_id")
+    config = F.create_map(
+        F.lit("MINER_BATCH_SIZE"), F.when(user % 7 != 0, (user % 9 + 1).cast("string")).otherwise("many"),
+        F.lit("VALIDATION_FETCH_LIMIT"), F.when(k % 3 == 0, (k % 50).cast("string")),
+        F.lit("MIN_PERCENT_PER_POINT"), F.when(k % 2 == 0, F.concat(F.lit("0.00"), (k % 10).cast("string"))),
+    )
+    pulled = e.where("event_type = 'signup'").select(F.col("ts").alias("pulled_at"), config.alias("config"), "event_id")
+    names = ["MINER_BATCH_SIZE", "VALIDATION_FETCH_LIMIT", "MIN_PERCENT_PER_POINT"]
+    out = remote.with_settings(e.where("event_type <> 'signup'").select("event_id", "ts"), pulled, "ts", names, ["event_id"])
+    return out.select("event_id", *[F.col(n).alias(a) for n, a in zip(names, ("batch_size", "fetch_limit", "min_percent"), strict=True)])
+
+
 @query(_match_sql(I.FIXTURE, I.FIXTURE[-1], "(SELECT doc_id, 'Doc ' || doc_id || chr(10) || chr(10) || substr(text, 1, 3000) AS text FROM documents)") + f"""
 , v AS (SELECT m.id, 0.5 * CASE WHEN m.id <> 9 THEN 1 ELSE 0 END + 0.4 * (0.6 * 0.5 + 0.4) AS score FROM matched m)
 SELECT id AS label, count(*) AS n, round(avg(score), 6) AS mean_score FROM v GROUP BY id""")
