@@ -20,8 +20,8 @@ WALK_ROWS = 1 << 20
 def in_force(rows: DataFrame, changes: DataFrame, at: str, since: str, values: list[str], order: list[str] | None = None, *, bin_seconds: int = BIN_SECONDS, walk_rows: int = WALK_ROWS) -> DataFrame:
     """rows and, for each of `values`, what the last change at or before `at` that gives it says; null before any.
 
-    A null in a change leaves what was in force.  Of changes at one time the last by `order` counts, then
-    the greatest value.  Rows without a time have nulls, changes without one do nothing.  Columns of rows come along,
+    A null in a change leaves what was in force.  Of changes at one time the last by `order` counts, and of
+    those alike in that, each value's greatest.  Rows without a time have nulls, changes without one do nothing.  Columns of rows come along,
     whatever their names; a value replaces a column of its name.
     """
     bin_of = lambda c: F.floor(F.unix_seconds(c) / bin_seconds).alias("bin")
@@ -31,6 +31,7 @@ def in_force(rows: DataFrame, changes: DataFrame, at: str, since: str, values: l
         F.col(since).cast("timestamp").alias("t"), bin_of(F.col(since).cast("timestamp")),
         *[F.col(c).alias(p) for c, p in zip(order or [], places, strict=True)], *[F.col(c).alias(v) for c, v in zip(values, named, strict=True)],
     )
+    said = said.groupBy("t", "bin", *places).agg(*[F.max(v).alias(v) for v in named])
     asked = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{at}`").cast("timestamp").alias("t")).withColumn("bin", bin_of(F.col("t")))
 
     def newest(v: str) -> Column:
@@ -47,7 +48,7 @@ def in_force(rows: DataFrame, changes: DataFrame, at: str, since: str, values: l
     met = asked.join(bins, "bin", "left").withColumn("walk", F.pmod(F.xxhash64("t", *told_apart), F.coalesce("walks", F.lit(1))))
     told = said.join(bins.select("bin", "walks"), "bin").withColumn("walk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("walks") - 1)))
     both = told.withColumn("asks", F.lit(False)).unionByName(met.withColumn("asks", F.lit(True)), allowMissingColumns=True)
-    walked = W.partitionBy("bin", "walk").orderBy("t", "asks", *places, *named).rowsBetween(W.unboundedPreceding, 0)
+    walked = W.partitionBy("bin", "walk").orderBy("t", "asks", *places).rowsBetween(W.unboundedPreceding, 0)
     # rows without a time, however many, stay out of the walk
     timed = both.where("bin is not null").select("asks", "row", *[F.coalesce(F.last(v, ignorenulls=True).over(walked), F.col(f"{v}_start")).alias(v) for v in named]).where("asks").drop("asks")
     out = timed.unionByName(asked.where("bin is null").select("row", *[F.lit(None).cast(said.schema[v].dataType).alias(v) for v in named]))

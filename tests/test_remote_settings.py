@@ -34,6 +34,15 @@ def test_in_force_against_a_loop(spark, walk_rows):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("bin_seconds", [60, 86400])
+def test_changes_at_one_time(spark, bin_seconds):
+    """Without an order each value's greatest counts, in the bin of the change and after it."""
+    changes = spark.createDataFrame([(START, 1, "z"), (START, 2, "y"), (START, None, "x"), (None, 9, "zz")], "since timestamp, a int, b string")
+    rows = spark.createDataFrame([(1, START), (2, START + timedelta(hours=2)), (3, START - timedelta(seconds=1))], "id int, at timestamp")
+    got = in_force(rows, changes, "at", "since", ["a", "b"], bin_seconds=bin_seconds).select("id", "a", "b").orderBy("id").collect()
+    assert list(map(tuple, got)) == [(1, 2, "z"), (2, 2, "z"), (3, None, None)]
+
+
 def test_in_force_of_nothing(spark):
     rows = spark.createDataFrame([(1, START)], "id int, at timestamp")
     changes = spark.createDataFrame([], "since timestamp, a int")
