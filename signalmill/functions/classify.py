@@ -83,6 +83,10 @@ def _first(words: Column, rules: dict[str, str], default: str) -> Column:
     return out.otherwise(default)
 
 
+def _words(lowered: Column) -> Column:
+    return F.array_distinct(F.split(lowered, r"[^\p{L}\p{N}_]+"))
+
+
 def rule_labels(text: Column, article: bool = False) -> Column:
     """struct of DIMENSIONS by the rules."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
@@ -95,8 +99,7 @@ def rule_labels(text: Column, article: bool = False) -> Column:
         rest = {d: _first(t["words"], RULES[d], DEFAULTS[d]) for d in ("sentiment", "market_analysis", "impact_potential")}
         return F.struct(*[c.alias(d) for d, c in ({"content_type": content, "technical_quality": quality} | rest).items()])
 
-    words = F.array_distinct(F.split(lowered, r"[^\p{L}\p{N}_]+"))
-    return once(F.struct(lowered.alias("text"), words.alias("words")), labelled)
+    return once(F.struct(lowered.alias("text"), _words(lowered).alias("words")), labelled)
 
 
 def valid_labels(labels: Column, article: bool = False) -> Column:
@@ -163,6 +166,16 @@ def classify_group(messages: Column, inherited_asset: Column, registry: tuple[En
     return _merged(inherited(match(text, registry, default), inherited_asset, registry), rule_labels(text))
 
 
+def last_message_sentiment(messages: Column) -> Column:
+    """Sentiment of the last message of array<struct<id, user, content>>, in context; null without messages.
+
+    Words of the message itself decide; where none of them speaks for a sentiment, those of the whole conversation do.
+    """
+    sentiment = lambda t: _first(_words(F.lower(F.coalesce(t, F.lit("")))), RULES["sentiment"], DEFAULTS["sentiment"])
+    own = sentiment(F.try_element_at(messages, F.lit(-1))["content"])
+    return F.when(F.size(messages) > 0, once(own, lambda x: F.when(x != DEFAULTS["sentiment"], x).otherwise(sentiment(conversation_text(messages)))))
+
+
 def classify_article(title: Column, summary: Column, content: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
     """Null for an article without a title."""
     text = article_text(title, summary, content)

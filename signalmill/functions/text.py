@@ -48,6 +48,30 @@ def conversation_lines(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.coalesce(m["user"], F.lit("unknown")), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
 
 
+#: Names under which the fields of a raw message may come, the first that is there taken.
+MESSAGE_NAMES = {"id": ("message_id", "id"), "user": ("username", "from"), "content": ("content", "text"), "timestamp": ("timestamp",), "reply_to": ("reply_to",)}
+MESSAGE_DEFAULTS = {"id": "", "user": "unknown", "content": ""}
+
+
+def adapted_messages(raw: Column) -> Column:
+    """array<struct<id, user, content, timestamp, reply_to>> of an array of maps under either set of names.
+
+    A name with a null value counts as absent; an absent id is empty, an absent user unknown, absent content
+    empty.  A null array stays null, and a null message is one without any name.
+    """
+
+    def field(m: Column, name: str) -> Column:
+        names = [F.try_element_at(m, F.lit(n)) for n in MESSAGE_NAMES[name]]
+        return F.coalesce(*names, F.lit(MESSAGE_DEFAULTS.get(name)).cast("string")).alias(name)
+
+    return F.transform(raw, lambda m: F.struct(*[field(m, name) for name in MESSAGE_NAMES]))
+
+
+def messages_from_json(raw: Column) -> Column:
+    """:func:`adapted_messages` of a JSON array of objects; null where it isn't one."""
+    return adapted_messages(F.from_json(raw, "array<map<string,string>>"))
+
+
 def conversation_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), " ")
 

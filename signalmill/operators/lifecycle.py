@@ -51,6 +51,33 @@ def with_status(items: DataFrame, status: str | None = None, hotkey: str | None
     return items if hotkey is None else items.where(F.col("hotkey") == hotkey)
 
 
+def looked_up(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every item_id of ids with its item's columns, null where there is none, and `is_rewarded`, false there."""
+    return ids.select("item_id").distinct().join(items, "item_id", "left").withColumn("is_rewarded", F.coalesce("rewarded", F.lit(False)))
+
+
+def marked(items: DataFrame, ids: DataFrame, **changes: Column) -> DataFrame:
+    """items, those of ids with some columns changed; ids that aren't there change nothing."""
+    out = items.join(ids.select("item_id").distinct().withColumn("__marked", F.lit(True)), "item_id", "left")
+    new = {c: F.when(F.col("__marked"), v).otherwise(F.col(c)) for c, v in changes.items()}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in items.columns])
+
+
+def submitted(items: DataFrame, ids: DataFrame) -> DataFrame:
+    return marked(items, ids, submitted=F.lit(True))
+
+
+def rewarded(items: DataFrame, ids: DataFrame) -> DataFrame:
+    return marked(items, ids, rewarded=F.lit(True))
+
+
+def deleted(items: DataFrame, ids: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+    """items without those of ids and those that meet a condition; a condition that is null keeps its row."""
+    if ids is not None:
+        items = items.join(ids.select("item_id"), "item_id", "left_anti")
+    return items if where is None else items.where(~F.coalesce(where, F.lit(False)))
+
+
 def ready(items: DataFrame) -> DataFrame:
     """Processed and not submitted yet."""
     return items.where((F.col("status") == PROCESSED) & ~F.col("submitted"))

@@ -106,6 +106,20 @@ def verdicts(compared: DataFrame) -> DataFrame:
     return out.withColumn("match_rate", F.col("matches") / F.col("total_sampled")).withColumn("is_valid", F.col("matches") == F.col("total_sampled"))
 
 
+def whole_batches(sent: DataFrame, returned: DataFrame) -> DataFrame:
+    """Per batch sent, of (batch, item) rows: n_sent, n_returned, and whether as many came back; of a batch that never did, 0."""
+    n = lambda rows, name: rows.groupBy("batch").agg(F.count(F.lit(1)).alias(name))
+    out = n(sent, "n_sent").join(n(returned, "n_returned"), "batch", "left").withColumn("n_returned", F.coalesce("n_returned", F.lit(0).cast("bigint")))
+    return out.withColumn("whole", F.col("n_sent") == F.col("n_returned"))
+
+
+def handled(sent: DataFrame, returned: DataFrame, verdicts: DataFrame, weight: Column | None = None) -> DataFrame:
+    """:func:`applied` to what was sent, where a batch of another size than was sent fails whatever its verdict; without a verdict it fails, too."""
+    whole = whole_batches(sent, returned)
+    judged = whole.join(verdicts.select("batch", "is_valid"), "batch", "left")
+    return applied(judged.select("batch", (F.col("whole") & F.coalesce("is_valid", F.lit(False))).alias("is_valid")), sent, weight)
+
+
 def applied(verdicts: DataFrame, batches: DataFrame, weight: Column | None = None) -> DataFrame:
     """(item_id, hotkey, status, reward, penalty) of every item: a valid batch is processed and rewarded once per item not rewarded yet, another is reset, at a penalty for its first item."""
     out = batches.join(verdicts.select("batch", "is_valid"), "batch")

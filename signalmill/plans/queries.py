@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import classify, matching, scoring, text
+from ..functions import classify, fitted, matching, scoring, text
 from ..functions.scoring import Economy
 from ..operators import annotate, consensus, dispatch, ledger, lifecycle, validation, votes, weights
 from ..sources import readers, remote
@@ -246,6 +246,12 @@ def q_epoch_maps(spark, sf):
     return out.select("epoch", F.array_join(F.transform(F.map_entries("amounts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("amounts"))
 
 
+@query(f"{R} SELECT p.epoch, p.hotkey, coalesce(r.amount, 0) AS amount FROM p LEFT JOIN r ON r.epoch = p.epoch AND r.hotkey = p.hotkey")
+def q_points_of(spark, sf):
+    """What those with a penalty earned in its epoch."""
+    return ledger.points_of(I.ledger(spark, sf, "reward"), I.ledger(spark, sf, "penalty").select("epoch", "hotkey"))
+
+
 B = f"""{E}, b AS ({I.BROADCASTS_SQL}), s AS (
   SELECT *, CASE WHEN seq <= greatest(coalesce(max(seq) OVER (PARTITION BY sender ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), -1) THEN 'duplicate_or_old_seq' WHEN value <= 0 THEN 'empty_payload' ELSE 'accepted' END AS reason FROM b
 ), kept AS (
@@ -453,6 +459,19 @@ def q_apply_verdicts(spark, sf):
     return validation.applied(verdicts, items)
 
 
+@query(f"""{V}, v AS (SELECT batch, bool_and(reason IS NULL) AS ok FROM c GROUP BY batch), z AS (SELECT batch, bool_and(doc_id % 43 <> 0) AS whole FROM d GROUP BY batch)
+  SELECT CAST(doc_id AS VARCHAR) AS item_id, CASE WHEN ok AND whole THEN 'Processed' ELSE 'Unprocessed' END AS status, CASE WHEN ok AND whole AND doc_id % 5 <> 0 THEN doc_id % 3 + 1 ELSE 0 END AS reward,
+  CASE WHEN NOT (ok AND whole) AND row_number() OVER (PARTITION BY batch ORDER BY CAST(doc_id AS VARCHAR)) = 1 THEN 1 ELSE 0 END AS penalty FROM d JOIN v USING (batch) JOIN z USING (batch)""")
+def q_handled_batches(spark, sf):
+    """Batches of which some came back short, whose items weigh 1 to 3."""
+    reviews = _reviews(spark, sf)
+    verdicts = validation.verdicts(validation.compared(validation.sampled(reviews, 2, "review", "doc_id", ["batch"])))
+    k = F.col("doc_id")
+    sent = reviews.select("batch", k.cast("string").alias("item_id"), F.concat(F.lit("hk"), F.pmod(k, F.lit(150)).cast("string")).alias("hotkey"), (k % 5 == 0).alias("rewarded"), (k % 3 + 1).alias("weight"))
+    returned = reviews.where("doc_id % 43 <> 0").select("batch")
+    return validation.handled(sent, returned, verdicts, F.col("weight")).drop("hotkey")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN doc_id % 5 = 0 THEN 'extra' WHEN doc_id % 7 = 0 THEN 'a' ELSE '' END AS furthest FROM documents""")
 def q_token_tolerance(spark, sf):
     k = F.col("doc_id")
@@ -539,6 +558,22 @@ def q_batch_guard(spark, sf):
     return lifecycle.accepted_batches(results, items, items.where(k % 50 == 0).select("item_id"))
 
 
+@query(f"{L} SELECT CAST(c_custkey AS VARCHAR) AS item_id, status, hotkey, coalesce(rewarded, false) AS is_rewarded FROM customer LEFT JOIN w ON w.item_id = CAST(c_custkey AS VARCHAR)")
+def q_looked_up(spark, sf):
+    ids = I.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("item_id"))
+    return lifecycle.looked_up(I.work_items(spark, sf), ids).select("item_id", "status", "hotkey", "is_rewarded")
+
+
+@query(f"""{L}, s AS (SELECT CAST(s_suppkey AS VARCHAR) AS id FROM supplier), c AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer)
+  SELECT item_id, submitted OR item_id IN (SELECT id FROM c) AS submitted, rewarded OR item_id IN (SELECT id FROM c) AS rewarded FROM w WHERE item_id NOT IN (SELECT id FROM s) AND NOT coalesce(start_time < TIMESTAMP '{I.AS_OF}' - to_seconds(1500), false)""")
+def q_point_changes(spark, sf):
+    """Items after some were submitted and rewarded, some deleted by id, and some by age."""
+    ids = lambda name, key: I.table(spark, sf, name).select(F.col(key).cast("string").alias("item_id"))
+    out = lifecycle.rewarded(lifecycle.submitted(I.work_items(spark, sf), ids("customer", "c_custkey")), ids("customer", "c_custkey"))
+    out = lifecycle.deleted(out, ids("supplier", "s_suppkey"), F.col("start_time") < as_of() - F.expr("interval 1500 seconds"))
+    return out.select("item_id", "submitted", "rewarded")
+
+
 @query(f"{L} SELECT item_id, status FROM w WHERE status = 'Unprocessed' UNION ALL SELECT item_id, status FROM w WHERE CAST(item_id AS BIGINT) % 97 = 0")
 def q_union_pending(spark, sf):
     w = I.work_items(spark, sf).select("item_id", "status")
@@ -727,6 +762,46 @@ def q_annotate_batch(spark, sf):
     return out.select("doc_id", "analysis.*")
 
 
+_SENTIMENT_SQL = _rules_sql(classify.RULES["sentiment"], classify.DEFAULTS["sentiment"])
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 <> 0 THEN coalesce(role, 'unknown') ELSE 'unknown' END AS last_user, lower(coalesce(text, '')) AS own,
+    lower(concat_ws(' ', lag(text, 2) OVER w, lag(text, 1) OVER w, text)) AS whole FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  o AS (SELECT *, {_SENTIMENT_SQL} AS said FROM (SELECT *, list_distinct(string_split_regex(own, '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM c)),
+  a AS (SELECT conv_id, turn, {_SENTIMENT_SQL} AS said FROM (SELECT *, list_distinct(string_split_regex(whole, '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM c))
+  SELECT o.conv_id, o.turn, last_user, CASE WHEN o.said <> 'neutral' THEN o.said ELSE a.said END AS sentiment FROM o JOIN a ON a.conv_id = o.conv_id AND a.turn = o.turn""")
+def q_last_sentiment(spark, sf):
+    """Of every message in its context, which comes as raw messages under either set of names."""
+    turn = F.col("turn")
+    user = F.when(turn % 5 != 0, F.col("role"))
+    raw = F.when(turn % 2 == 0, F.create_map(F.lit("message_id"), turn.cast("string"), F.lit("username"), user, F.lit("content"), F.col("text"))).otherwise(F.create_map(F.lit("id"), turn.cast("string"), F.lit("from"), user, F.lit("text"), F.col("text")))
+    c = I.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(text.previous(raw, "conv_id", "turn"), F.array(raw)).alias("raw"))
+    c = c.withColumn("messages", text.adapted_messages(F.col("raw")))
+    return c.select("conv_id", "turn", F.element_at("messages", -1)["user"].alias("last_user"), classify.last_message_sentiment(F.col("messages")).alias("sentiment"))
+
+
+_FITTED = {"quality": ("0", "1"), "toxic": ("0", "1")}
+_FITTED_SUMS = ", ".join(f"count_if({d} = {x}) AS {d}{x}" for d, values in _FITTED.items() for x in values)
+_FITTED_SCORES = ", ".join(f"CAST(round({fitted.UNIT} * ln((c.{d}{x} + CAST({fitted.SHRINK} AS DOUBLE) * (c.{d}0 + c.{d}1) / (t.{d}0 + t.{d}1)) / (t.{d}{x} + CAST({fitted.SHRINK} AS DOUBLE)))) AS BIGINT) AS {d}{x}" for d, values in _FITTED.items() for x in values)
+_FITTED_BEST = ", ".join(f"CASE WHEN d.text IS NOT NULL THEN CASE WHEN coalesce(s.{d}1, 0) + CAST(round({fitted.UNIT} * ln(t.{d}1)) AS BIGINT) > coalesce(s.{d}0, 0) + CAST(round({fitted.UNIT} * ln(t.{d}0)) AS BIGINT) THEN '1' ELSE '0' END END AS {d}" for d in _FITTED)
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_concat([''], string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')))) AS word FROM documents WHERE text IS NOT NULL),
+  c AS (SELECT word, count(*) AS texts, {_FITTED_SUMS} FROM w JOIN labels USING (doc_id) GROUP BY word), t AS (SELECT * FROM c WHERE word = ''),
+  m AS (SELECT c.word, c.quality0 AS a0, c.quality1 AS a1, c.toxic0 AS b0, c.toxic1 AS b1, {_FITTED_SCORES} FROM c, t WHERE c.word <> '' AND c.texts >= {fitted.LEAST_TEXTS}),
+  x AS (SELECT word, 0 AS label, a0 * (quality0 - least(quality0, quality1)) AS value FROM m UNION ALL SELECT word, 1, a1 * (quality1 - least(quality0, quality1)) FROM m
+    UNION ALL SELECT word, 2, b0 * (toxic0 - least(toxic0, toxic1)) FROM m UNION ALL SELECT word, 3, b1 * (toxic1 - least(toxic0, toxic1)) FROM m),
+  v AS (SELECT m.* FROM m WHERE word IN (SELECT word FROM (SELECT word, row_number() OVER (PARTITION BY label ORDER BY value DESC, word) AS k FROM x WHERE value > 0) WHERE k <= {fitted.MOST_WORDS // 4})),
+  s AS (SELECT doc_id, {", ".join(f"sum({d}{x}) AS {d}{x}" for d, values in _FITTED.items() for x in values)} FROM w JOIN v USING (word) GROUP BY doc_id)
+  SELECT d.doc_id, {_FITTED_BEST} FROM documents d CROSS JOIN t LEFT JOIN s ON s.doc_id = d.doc_id""")
+def q_fitted_labels(spark, sf):
+    """All documents labelled by a classifier fitted on those that have labels."""
+    d = I.table(spark, sf, "documents").select("doc_id", "text")
+    told = I.table(spark, sf, "labels").select("doc_id", *[F.col(x).cast("string").alias(x) for x in _FITTED])
+    model = fitted.fit(d.join(told, "doc_id"), "text", _FITTED, {})
+    return model.apply(d, "text").select("doc_id", "labels.*")
+
+
 def _verdict_sql(picked: str, target: str, worker: dict[str, str], has_worker: str, own_id: str, has_own: str, article: bool = False) -> str:
     """Verdicts by batch of picked (batch, k, nth, text, ...), relabelled, against the worker's labels."""
     source = f"(SELECT k, text FROM ({picked}))"

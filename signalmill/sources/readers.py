@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import time
+from collections.abc import Callable, Mapping
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,37 @@ def price(quotes: DataFrame) -> DataFrame:
     return quotes.orderBy(F.desc("last_updated")).limit(1)
 
 
+# Seconds that a price is taken as fresh, and seconds to wait after each failed try of a cold start.
+PRICE_SECONDS = 300
+COLD_START_WAITS = (2, 5)
+QUOTE = T.StructType([T.StructField("price", T.DoubleType()), T.StructField("last_updated", T.TimestampType())])
+
+
+def fetched_price(fetch: Callable[[], float], cache: VersionedTable, as_of: datetime, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The latest quote in a cache (of schema QUOTE), of which a fetched price becomes the only row.
+
+    A fresh quote isn't fetched again.  If fetching fails, the stale quote stays in force; without one it
+    is tried twice more, and the last failure raised.
+    """
+    spark = cache.spark
+    old = cache.read().agg(F.max("last_updated").alias("at")).first().at
+    now = spark.range(1).select(F.lit(as_of).cast("timestamp").alias("now"))
+    if old is not None and now.where(F.unix_micros("now") - F.unix_micros(F.lit(old)) < PRICE_SECONDS * 1_000_000).count():
+        return price(cache.read())
+    for pause in (None,) if old is not None else (*COLD_START_WAITS, None):
+        try:
+            found = float(fetch())
+        except Exception:  # whatever a source of the caller's raises
+            if pause is not None:
+                wait(pause)
+            elif old is None:
+                raise
+        else:
+            cache.replace(now.select(F.lit(found).alias("price"), F.col("now").alias("last_updated")))
+            break
+    return price(cache.read())
+
+
 def with_price(df: DataFrame, quotes: DataFrame) -> DataFrame:
     """df with the latest price in every row; null where there is no quote."""
     return df.withColumn("token_usd", quotes.agg(F.max_by("price", "last_updated")).scalar())
