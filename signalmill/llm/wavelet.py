@@ -8,19 +8,25 @@ block and select a binary search, so single ids, counts of an id and its
 occurrences are found without expanding the shard.
 
 File, little-endian:
-    8 bytes   magic "SMWVM01\\n"
-    u32 x 4   ids per shard, documents, planes, ids per rank block
-    then zstd frames, each after its u32 length: document ids (i64, and a byte
-    each for null), document ends (u32, exclusive), the number of zeros of each
-    plane (u32), and per plane its bits (packed, first bit highest) and block
-    counts (u32, ones before each block)
+    8 bytes   magic "SMWVM02\\n"
+    u32 x 5   ids per shard, documents, planes, ids per rank block, bytes per piece of a plane
+    u32 each  lengths of the zstd frames that follow
+    frames    document ids (i64, and a byte each for null); document ends (u32,
+              exclusive); the number of zeros of each plane (u32); per plane its
+              block counts (u32, ones before each block); then per plane its bits
+              (packed, first bit highest), a frame for each piece
+A question to an open file reads, of each plane, the counts and the pieces that hold
+the blocks it needs.
 
 Defined results: a null text is encoded as an empty one (the end id alone);
-null doc_ids come first; rows with equal doc_id follow by text.
+null doc_ids come first; rows with equal doc_id follow by text; a text of any
+length lies whole in one shard, which it closes if it takes it to its size; an empty
+table gives no files and no rows; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 
@@ -39,8 +45,11 @@ from .hashing import hasher, text_batches
 from .parts import PartMemo, split_stops
 from .storage import fresh_path, worker_state
 
-MAGIC = b"SMWVM01\n"
+MAGIC = b"SMWVM02\n"
 BLOCK = 4096
+#: Bytes of a plane to a frame, a multiple of a block's.
+PIECE = 1 << 14
+HEADER = "<5I"
 #: A shard is closed with the document that takes it to this many ids.
 SHARD_IDS = 1 << 21
 
@@ -147,31 +156,113 @@ def packed(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, width:
     m = WaveletMatrix.of(ids, width)
     names = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
     parts = [names, np.asarray(ends, "<u4").tobytes(), m.zeros.astype("<u4").tobytes()]
-    for plane, counts in zip(m.planes, m.counts, strict=True):
-        parts += [plane.tobytes(), counts.astype("<u4").tobytes()]
+    parts += [counts.astype("<u4").tobytes() for counts in m.counts]
+    parts += [plane[at : at + PIECE].tobytes() for plane in m.planes for at in range(0, len(plane), PIECE)]
     squeeze = zstandard.ZstdCompressor(level=1).compress
     frames = [squeeze(p) for p in parts]
-    return MAGIC + struct.pack("<4I", m.n, len(doc_ids), width, BLOCK) + b"".join(struct.pack("<I", len(f)) + f for f in frames)
+    return MAGIC + struct.pack(HEADER, m.n, len(doc_ids), width, BLOCK, PIECE) + np.array([len(f) for f in frames], "<u4").tobytes() + b"".join(frames)
+
+
+class _Lazy:
+    """A sequence whose items are made when they are asked for, and kept."""
+
+    def __init__(self, n: int, make):
+        self.n, self.make, self.known = n, make, {}
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int):
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        if i not in self.known:
+            self.known[i] = self.make(i)
+        return self.known[i]
+
+
+class _Plane:
+    """The bytes of one plane, of which only pieces asked for are read."""
+
+    def __init__(self, pieces: _Lazy, size: int):
+        self.pieces, self.size = pieces, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self.pieces[at // PIECE][at % PIECE]
+        start, stop, _ = at.indices(self.size)
+        if start >= stop:
+            return np.zeros(0, np.uint8)
+        first = start // PIECE
+        parts = [self.pieces[k] for k in range(first, (stop - 1) // PIECE + 1)]
+        whole = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return whole[start - first * PIECE : stop - first * PIECE]
+
+
+class ShardFile(WaveletMatrix):
+    """An open file (anything with read, seek and close), which answers without being expanded."""
+
+    def __init__(self, file):
+        self.file = file
+        head = file.read(len(MAGIC) + struct.calcsize(HEADER))
+        if head[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a token-id file")
+        n, self.docs, width, block, piece = struct.unpack_from(HEADER, head, len(MAGIC))
+        if (block, piece) != (BLOCK, PIECE):
+            raise ValueError(f"rank blocks of {block} ids in pieces of {piece} bytes")
+        size = (n + 7) // 8
+        per = -(-size // PIECE)
+        sizes = np.frombuffer(file.read(4 * (3 + width + width * per)), "<u4").astype(np.int64)
+        self._at = len(head) + 4 * len(sizes) + np.concatenate([[0], np.cumsum(sizes)])
+        self._expand = zstandard.ZstdDecompressor().decompress
+        self._pieces = width, size, per
+        planes = _Lazy(width, lambda level: _Plane(_Lazy(per, lambda k: np.frombuffer(self._frame(3 + width + level * per + k), np.uint8)), size))
+        super().__init__(n, np.frombuffer(self._frame(2), "<u4"), planes, _Lazy(width, lambda level: np.frombuffer(self._frame(3 + level), "<u4")))
+
+    def _frame(self, k: int) -> bytes:
+        self.file.seek(int(self._at[k]))
+        return self._expand(self.file.read(int(self._at[k + 1] - self._at[k])))
+
+    def ids(self) -> np.ndarray:
+        """All ids in order; planes are read one at a time and let go."""
+        width, size, per = self._pieces
+        whole = _Lazy(width, lambda level: _Plane(_Lazy(per, lambda k: np.frombuffer(self._frame(3 + width + level * per + k), np.uint8)), size)[:])
+        whole.known = _Forgetful()
+        return WaveletMatrix(self.n, self.zeros, whole, self.counts).ids()
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """doc_ids, and where documents end."""
+        raw = self._frame(0)
+        names, nulls = np.frombuffer(raw, "<i8", self.docs), raw[8 * self.docs :]
+        return [None if gone else int(d) for d, gone in zip(names, nulls, strict=True)], np.frombuffer(self._frame(1), "<u4")
+
+    def __enter__(self) -> ShardFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
+class _Forgetful(dict):
+    """Keeps the last item only."""
+
+    def __setitem__(self, key, value) -> None:
+        self.clear()
+        super().__setitem__(key, value)
+
+
+def opened(path: str) -> ShardFile:
+    """A file of the manifest, to be asked for single ids, counts and occurrences."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    return ShardFile(fs.open_input_file(name))
 
 
 def unpacked(content: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """Matrix, doc_ids and document ends of a file."""
-    if content[:8] != MAGIC:
-        raise ValueError("not a token-id file")
-    n, docs, width, block = struct.unpack_from("<4I", content, 8)
-    if block != BLOCK:
-        raise ValueError(f"rank blocks of {block} ids")
-    at, parts = 24, []
-    expand = zstandard.ZstdDecompressor().decompress
-    for _ in range(3 + 2 * width):
-        size = struct.unpack_from("<I", content, at)[0]
-        parts.append(expand(content[at + 4 : at + 4 + size]))
-        at += 4 + size
-    names, nulls = np.frombuffer(parts[0], "<i8", docs), parts[0][8 * docs :]
-    doc_ids = [None if gone else int(d) for d, gone in zip(names, nulls, strict=True)]
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
-    counts = [np.frombuffer(p, "<u4") for p in parts[4::2]]
-    return WaveletMatrix(n, np.frombuffer(parts[2], "<u4"), planes, counts), doc_ids, np.frombuffer(parts[1], "<u4")
+    """Matrix, doc_ids and document ends of a file's bytes."""
+    shard = ShardFile(io.BytesIO(content))
+    return shard, *shard.documents()
 
 
 class WordEncoder:
@@ -313,10 +404,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def work(chunks):
         for chunk in chunks:
             for path, base in zip(chunk.column("path").to_pylist(), chunk.column("base").to_pylist(), strict=True):
-                fs, name = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(name) as f:
-                    matrix, doc_ids, ends = unpacked(f.read())
-                ids = matrix.ids().astype("<u4").tobytes()
+                with opened(path) as shard:
+                    doc_ids, ends = shard.documents()
+                    ids = shard.ids().astype("<u4").tobytes()
                 starts = np.concatenate([np.zeros(1, np.int64), ends[:-1].astype(np.int64)])
                 for at in range(0, len(doc_ids), 1024):
                     to = min(at + 1024, len(doc_ids))
@@ -333,6 +423,33 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return based.repartition(tasks).mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
+def token_counts(manifest: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n_docs, n) over all files: how many documents hold a token, and how often it stands in all.
+
+    Documents are found by the token's occurrences: the first, and then the first after each document that holds it.
+    """
+    wanted = sorted(set(tokens))
+
+    def holding(shard: ShardFile, ends: np.ndarray, token: int, n: int) -> int:
+        docs = k = 0
+        while k < n:
+            docs += 1
+            k = shard.count(token, 0, int(ends[np.searchsorted(ends, shard.occurrence(token, k), side="right")]))
+        return docs
+
+    def work(chunks):
+        for chunk in chunks:
+            for path in chunk.column("path").to_pylist():
+                with opened(path) as shard:
+                    ends = shard.documents()[1]
+                    n = [shard.count(t) for t in wanted]
+                    docs = [holding(shard, ends, t, c) for t, c in zip(wanted, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array(docs, pa.int64()), pa.array(n, pa.int64())], names=["token", "n_docs", "n"])
+
+    found = manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(work, "token bigint, n_docs bigint, n bigint")
+    return found.groupBy("token").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+
+
 def store(documents: DataFrame, tokenizer: str, *, end_id: int, folder: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write the files, by default in a fresh shared folder, and read them back."""
     spark: SparkSession = documents.sparkSession
