@@ -32,6 +32,8 @@ MOST_WORDS, LEAST_TEXTS = 4096, 3
 UNIT = 1000
 #: So many texts with the word at its rate over all labels are added to each label's, lest words that a rare label never met speak for it.
 SHRINK = 10.0
+#: Parts of a label's words whose best are found apart, as a label may have any number of words.
+PARTS = 64
 
 
 def words_of(text: Column) -> Column:
@@ -102,8 +104,11 @@ def fit(examples: DataFrame, text: str, domains: Mapping[str, Sequence[str]] = D
             speaks.append(F.struct(F.lit(i).alias("label"), (F.col("held")[i] * (F.col("scores")[i] - F.least(*of))).alias("value")))
     none = F.array().cast("array<struct<label:int,value:bigint>>")
     voiced = scored.select("word", "scores", F.inline(F.array(*speaks) if speaks else none)).where("value > 0")
-    place = F.row_number().over(W.partitionBy("label").orderBy(F.desc("value"), "word"))
-    best = voiced.withColumn("place", place).where(F.col("place") <= most_words // n).select("word", "scores").distinct()
+    # the first of each label are among the first of each part of it
+    for keys in (["label", F.pmod(F.xxhash64("word"), F.lit(PARTS))], ["label"]):
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("value"), "word"))
+        voiced = voiced.withColumn("place", place).where(F.col("place") <= most_words // n).drop("place")
+    best = voiced.select("word", "scores").distinct()
     empty = examples.sparkSession.range(1).select(F.lit("").alias("word"), F.array_repeat(F.lit(0).cast("bigint"), n).alias("scores"))
     words = materialised(best.unionByName(empty), "model")
     return Model(words, labels, tuple(_prior(t) for t in totals), {d: defaults.get(d, values[0]) for d, values in domains.items()})
