@@ -8,6 +8,8 @@ function from a batch of texts to rows of labels; distinct texts are labelled on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..sources.registries import ARTICLE_CONTENT_TYPES, CONTENT_TYPES, IMPACTS, MARKET_ANALYSES, SENTIMENTS, TECHNICAL_QUALITIES, Entry
 from ..tables import VersionedTable, materialised
-from .matching import inherited, match, once
+from .matching import anchors, inherited, match_taken, once, taken
 from .scoring import sentiment_value, tokens
 from .text import article_text, conversation_text
 
@@ -83,23 +85,39 @@ def _first(words: Column, rules: dict[str, str], default: str) -> Column:
     return out.otherwise(default)
 
 
-def _words(lowered: Column) -> Column:
-    return F.array_distinct(F.split(lowered, r"[^\p{L}\p{N}_]+"))
+def _specifics(lowered: Column) -> Column:
+    """How many of SPECIFICS stand in the text.
 
+    A word boundary is dear to look for at each place, so a pattern is tried only in texts with something that each of its matches holds.
+    """
+    named = reduce(or_, [F.contains(lowered, F.lit(w)) for w in ("api", "sdk", "endpoint", "repo", "commit")])
+    signs = (lowered.rlike(r"[0-9]\.[0-9]"), lowered.rlike(r"[0-9] ?(ms|tps|gb|mb|%)"), F.contains(lowered, F.lit("http")), named)
+    return sum((F.when(sign & lowered.rlike(p), 1).otherwise(0) for sign, p in zip(signs, SPECIFICS, strict=True)), F.lit(0))
 
-def rule_labels(text: Column, article: bool = False) -> Column:
-    """struct of DIMENSIONS by the rules."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
 
-    def labelled(t: Column) -> Column:
-        specifics = sum((F.when(t["text"].rlike(p), 1).otherwise(0) for p in SPECIFICS), F.lit(0))
-        technical = F.arrays_overlap(t["words"], F.array(*map(F.lit, TECHNICAL_WORDS.split())))
-        quality = F.when(specifics >= 2, "high").when(specifics == 1, "medium").when(technical, "low").otherwise("none")
-        content = _first(t["words"], ARTICLE_CONTENT_RULES if article else RULES["content_type"], DEFAULTS["content_type"])
-        rest = {d: _first(t["words"], RULES[d], DEFAULTS[d]) for d in ("sentiment", "market_analysis", "impact_potential")}
-        return F.struct(*[c.alias(d) for d, c in ({"content_type": content, "technical_quality": quality} | rest).items()])
+def _rule_words(*rules: dict[str, str]) -> set[str]:
+    return {w for known in rules for listed in known.values() for w in listed.split()}
+
+
+def _rules(article: bool) -> dict[str, dict[str, str]]:
+    return RULES | {"content_type": ARTICLE_CONTENT_RULES} if article else RULES
+
+
+def _label_words(article: bool) -> set[str]:
+    return _rule_words(*_rules(article).values()) | set(TECHNICAL_WORDS.split())
+
 
-    return once(F.struct(lowered.alias("text"), _words(lowered).alias("words")), labelled)
+def _labels_taken(t: Column, article: bool) -> Column:
+    """:func:`rule_labels` of a text as :func:`taken` with the rules' words, and any other, among its words."""
+    technical = F.arrays_overlap(t["words"], F.array(*map(F.lit, TECHNICAL_WORDS.split())))
+    quality = once(_specifics(t["lower"]), lambda n: F.when(n >= 2, "high").when(n == 1, "medium").when(technical, "low").otherwise("none"))
+    labels = {d: _first(t["words"], rules, DEFAULTS[d]) for d, rules in _rules(article).items()}
+    return F.struct(*[c.alias(d) for d, c in ({"content_type": labels["content_type"], "technical_quality": quality} | labels).items()])
+
+
+def rule_labels(text: Column, article: bool = False) -> Column:
+    """struct of DIMENSIONS by the rules."""
+    return once(taken(text, _label_words(article)), lambda t: _labels_taken(t, article))
 
 
 def valid_labels(labels: Column, article: bool = False) -> Column:
@@ -157,13 +175,12 @@ def remembered_labels(df: DataFrame, text: str, make: Callable[[], Callable[[pd.
 
 def classify_post(text: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
     """struct<id, symbol, confidence, evidence, and DIMENSIONS>; null for a text without characters."""
-    return F.when(F.length(text) > 0, _merged(match(text, registry, default), rule_labels(text)))
+    return F.when(F.length(text) > 0, _classified(text, registry, default))
 
 
 def classify_group(messages: Column, inherited_asset: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
     """Of a conversation, array<struct<id, user, content>>; an inherited asset comes before a match."""
-    text = conversation_text(messages)
-    return _merged(inherited(match(text, registry, default), inherited_asset, registry), rule_labels(text))
+    return _classified(conversation_text(messages), registry, default, found=lambda m: inherited(m, inherited_asset, registry))
 
 
 def last_message_sentiment(messages: Column) -> Column:
@@ -171,7 +188,7 @@ def last_message_sentiment(messages: Column) -> Column:
 
     Words of the message itself decide; where none of them speaks for a sentiment, those of the whole conversation do.
     """
-    sentiment = lambda t: _first(_words(F.lower(F.coalesce(t, F.lit("")))), RULES["sentiment"], DEFAULTS["sentiment"])
+    sentiment = lambda t: _first(taken(t, _rule_words(RULES["sentiment"]))["words"], RULES["sentiment"], DEFAULTS["sentiment"])
     own = sentiment(F.try_element_at(messages, F.lit(-1))["content"])
     return F.when(F.size(messages) > 0, once(own, lambda x: F.when(x != DEFAULTS["sentiment"], x).otherwise(sentiment(conversation_text(messages)))))
 
@@ -179,12 +196,20 @@ def last_message_sentiment(messages: Column) -> Column:
 def classify_article(title: Column, summary: Column, content: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
     """Null for an article without a title."""
     text = article_text(title, summary, content)
-    return F.when(F.length(title) > 0, _merged(match(text, registry, default), rule_labels(text, article=True)))
+    return F.when(F.length(title) > 0, _classified(text, registry, default, article=True))
+
+
+def _classified(text: Column, registry: tuple[Entry, ...], default: Entry, *, article: bool = False, found: Callable[[Column], Column] = lambda m: m) -> Column:
+    """The match, or what `found` makes of it, with the labels; the text's words are taken once for both."""
+    plain, cased = anchors(registry, default.id)
+
+    def both(t: Column) -> Column:
+        return F.struct(found(match_taken(t, registry, default)).alias("m"), _labels_taken(t, article).alias("l"))
 
+    def merged(x: Column) -> Column:
+        return F.struct(*[x["m"][f].alias(f) for f in ("id", "symbol", "confidence", "evidence")], *[x["l"][d].alias(d) for d in DIMENSIONS])
 
-def _merged(found: Column, labels: Column) -> Column:
-    both = F.struct(found.alias("m"), labels.alias("l"))
-    return once(both, lambda x: F.struct(*[x["m"][f].alias(f) for f in ("id", "symbol", "confidence", "evidence")], *[x["l"][d].alias(d) for d in DIMENSIONS]))
+    return once(once(taken(text, plain | _label_words(article), cased), both), merged)
 
 
 def complete(classification: Column) -> Column:

@@ -63,13 +63,31 @@ def _probes(registry: tuple[Entry, ...], skip: int) -> Column:
     return F.expr("array(" + ",".join(rows) + ")")
 
 
-def _anchors(registry: tuple[Entry, ...], skip: int) -> tuple[Column, Column]:
-    """Anchors of identifiers in lower case, and of those in their own case: constant arrays."""
+def anchors(registry: tuple[Entry, ...], skip: int) -> tuple[set[str], set[str]]:
+    """Anchors of identifiers in lower case, and of those in their own case."""
     kept = [e for e in registry if e.id != skip]
     plain = {anchor(n.lower()) for e in kept for n in e.identifiers if len(n) >= LEAST_LENGTH}
     cased = {anchor(n) for e in kept for n in e.cased if len(n) >= LEAST_LENGTH}
+    return plain, cased
+
+
+def taken(text: Column, plain: set[str], cased: set[str] = frozenset()) -> Column:
+    """struct<own, lower, words, cased_words>: a text, in lower case, and which of `plain` are words of that, which of `cased` words of its own.
+
+    The lower case is split once and met with all known words at once; a text in its own case is split only if it holds one of `cased`
+    anywhere.  What is asked of a text's words afterwards goes by the few that were found.
+    """
     listed = lambda known: F.expr("array(" + ",".join(map(_quoted, sorted(known))) + ")").cast("array<string>")
-    return listed(plain), listed(cased)
+    found = lambda t, known: F.array_intersect(words(t), listed(known)) if known else listed(known)
+    own = F.coalesce(text, F.lit(""))
+    both = F.struct(own.alias("own"), F.lower(own).alias("lower"))
+
+    def met(t: Column) -> Column:
+        holds = F.exists(listed(cased), lambda w: F.contains(t["own"], w))
+        cased_words = F.when(holds, found(t["own"], cased)).otherwise(listed(())) if cased else listed(())
+        return F.struct(t["own"].alias("own"), t["lower"].alias("lower"), found(t["lower"], plain).alias("words"), cased_words.alias("cased_words"))
+
+    return once(both, met)
 
 
 def _score(tagged: Column, evidence: Column) -> Column:
@@ -84,7 +102,11 @@ def match(text: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
     anchors at once, and only identifiers whose anchor stands in it are looked at; one fold over what was found
     keeps the best entry.
     """
-    anchors, cased_anchors = _anchors(registry, default.id)
+    return once(taken(text, *anchors(registry, default.id)), lambda t: match_taken(t, registry, default))
+
+
+def match_taken(text: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
+    """:func:`match` of a text as :func:`taken` with the registry's anchors, and any other words, among its words."""
 
     def hits(t: Column) -> Column:
         def stands(p: Column) -> Column:
@@ -115,12 +137,7 @@ def match(text: Column, registry: tuple[Entry, ...], default: Entry) -> Column:
         confidence = F.when(best["score"] >= 0.9, "high").when(best["score"] > 0, "medium").otherwise("low")
         return F.struct(best["id"].alias("id"), best["symbol"].alias("symbol"), confidence.alias("confidence"), best["evidence"].alias("evidence"))
 
-    own = F.coalesce(text, F.lit(""))
-    both = once(own, lambda t: F.struct(t.alias("own"), F.lower(t).alias("lower")))
-    cased_words = F.array_intersect(words(own), cased_anchors) if any(e.cased for e in registry) else F.array().cast("array<string>")
-    known = once(both, lambda t: F.struct(t["own"].alias("own"), t["lower"].alias("lower"), F.array_intersect(words(t["lower"]), anchors).alias("words"), cased_words.alias("cased_words")))
-    found = once(known, hits)
-    return F.aggregate(found, zero, add, lambda acc: once(better(acc), named))
+    return F.aggregate(hits(text), zero, add, lambda acc: once(better(acc), named))
 
 
 def inherited(match: Column, asset_id: Column, registry: tuple[Entry, ...]) -> Column:

@@ -93,3 +93,30 @@ def test_annotated_classifies_once(spark):
     assert out.count() == sum(1 for t in TEXTS if t)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("very_bearish") == 1
+
+
+#: Texts at the edges of words and numbers, with what the rules say of them: content_type, technical_quality and the asset matched.
+EDGES = {
+    "release v1.2 at 20 ms": ("announcement", "high", 9),
+    "RELEASE 3.5% of rapid": ("announcement", "high", 9),
+    "capital 1. 2 and 9.a of the node": ("other", "low", 9),
+    "an API, 7 items": ("other", "medium", 9),
+    "_api apis repo_ x20ms http:/": ("other", "none", 9),
+    "https://x sdk 5tps 1.0": ("other", "high", 9),
+    "Was it a vote": ("governance", "none", 1),
+    "was it; WAS Wash Was_": ("other", "none", 9),
+    "İmo gm": ("community", "none", 9),
+    "\U0001d400gm \U0001f600imo": ("opinion", "none", 9),
+}
+
+
+def test_labels_at_edges_and_texts_split_once(spark):
+    from signalmill.functions import classify
+
+    registry, default = (Entry(1, "WAS", "w", ("zebra",), ("Was",)), Entry(9, "NO", "none")), Entry(9, "NO", "none")
+    out = rows_of(spark, EDGES).select("k", classify.classify_post(F.col("text"), registry, default).alias("c"))
+    assert [(r.c.content_type, r.c.technical_quality, r.c.id) for r in sorted(out.collect(), key=lambda r: r.k)] == list(EDGES.values())
+    # one splitting for the lower case, whether the matcher or the rules ask, and one for texts with a cased identifier
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+    assert all(plan.count(p) == 1 for p in classify.SPECIFICS)
